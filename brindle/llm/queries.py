@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, secrets, shards, warc
+from . import decontam, langid, neardup, pieces, secrets, shards, substrings, topk, warc
 from .staging import table
 
 
@@ -35,6 +35,10 @@ def _of_kind(i: int):
     return lambda s: s["kind"] == i
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -46,5 +50,23 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit_text_model(table(spark, sf_dir, "documents"))
+    return langid.identify(langid.pages_evidence(table(spark, sf_dir, "pages")), model, "page_id")
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_sharding, op3_secrets, op5_decontamination)}
+    found = (op1_warc, op2_sharding, op3_secrets, op4_substring_dedup, op5_decontamination, op7_language_id, op8_pieces, op9_topk, op10_near_dedup)
+    return {f.__name__: f for f in found}
