@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, neardup, pieces, secrets, shards, substrings, topk, warc
+from . import decontam, langid, neardup, pieces, secrets, shards, substrings, topk, toxicity, warc
 from .staging import table
 
 
@@ -50,6 +50,10 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_text_model(table(spark, sf_dir, "documents"))
     return langid.identify(langid.pages_evidence(table(spark, sf_dir, "pages")), model, "page_id")
@@ -68,5 +72,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_warc, op2_sharding, op3_secrets, op4_substring_dedup, op5_decontamination, op7_language_id, op8_pieces, op9_topk, op10_near_dedup)
+    found = (op1_warc, op2_sharding, op3_secrets, op4_substring_dedup, op5_decontamination, op6_toxicity, op7_language_id, op8_pieces, op9_topk, op10_near_dedup)
     return {f.__name__: f for f in found}
