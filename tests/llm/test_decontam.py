@@ -1,6 +1,6 @@
 import random
 
-import cases
+from . import cases
 
 from brindle.llm import decontam
 

@@ -1,6 +1,6 @@
 import random
 
-import cases
+from . import cases
 import duckdb
 import numpy as np
 import pytest

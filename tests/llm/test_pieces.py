@@ -2,7 +2,7 @@ import itertools
 import os
 import random
 
-import cases
+from . import cases
 import numpy as np
 import pytest
 

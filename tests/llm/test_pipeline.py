@@ -1,6 +1,6 @@
 import os
 
-import cases
+from . import cases
 import duckdb
 import pytest
 

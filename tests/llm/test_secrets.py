@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-import cases
+from . import cases
 
 from brindle.llm import queries, secrets
 

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-import cases
+from . import cases
 import pytest
 
 from brindle.llm import shards

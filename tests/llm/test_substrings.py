@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-import cases
+from . import cases
 import pytest
 
 from brindle.llm import substrings

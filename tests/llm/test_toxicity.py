@@ -1,7 +1,7 @@
 import random
 import zlib
 
-import cases
+from . import cases
 import numpy as np
 import pytest
 
