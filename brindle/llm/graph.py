@@ -13,8 +13,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     low, high = F.least("a", "b"), F.greatest("a", "b")
     down = edges.select(high.alias("u"), low.alias("v"))
     around = down.union(down.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else down
-    # min combines on the map side, and a vertex with very many links is a skewed join that AQE splits
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # min combines on the map side; staged, it has no partitioning that the join would have to keep,
+    # so AQE can split a vertex with very many links
+    least = stage(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     linked = around.join(least, "u")
     if large:
         new = linked.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

@@ -27,6 +27,7 @@ SIGNED = "doc_id long, n long, h1 long, h2 long, buckets array<long>, s0 long, s
 LINKS = "a long, b long"
 BITS = 256
 ROWS = 5  # MinHash samples in a band
+SKETCHED = BITS // 2  # samples in a sketch at most; more would fill it up
 
 
 def bands_for(threshold: float, miss: float = 1e-5) -> int:
@@ -85,8 +86,9 @@ def sign(docs: DataFrame, k: int, bands: int) -> DataFrame:
                     least = np.minimum.reduceat(values * times[i] + plus[i], first[some])
                     band = i // ROWS
                     keys[:, band] = mix(keys[:, band] ^ (least + U64(i)))
-                    bit = (mix(least ^ plus[i]) >> U64(56)).astype(np.int64)
-                    sketch[at, bit >> 6] ^= U64(1) << (bit & 63).astype(U64)
+                    if i < SKETCHED:
+                        bit = (mix(least ^ plus[i]) >> U64(56)).astype(np.int64)
+                        sketch[at, bit >> 6] ^= U64(1) << (bit & 63).astype(U64)
                 offsets = np.zeros(b - a + 1, np.int32)
                 np.cumsum(np.where(n > 0, bands, 0), out=offsets[1:])
                 full = np.zeros((b - a, BITS // 64), U64)
@@ -98,9 +100,15 @@ def sign(docs: DataFrame, k: int, bands: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
 
 
-def most_different_bits(similarity: float, samples: int) -> float:
-    """Expected bits of the XOR of two odd sketches at this similarity."""
-    return BITS / 2 * (1 - math.exp(-4 * samples * (1 - similarity) / BITS))
+def most_different_bits(similarity: float, samples: int, deviations: float = 5.0) -> float:
+    """Bits that the XOR of two odd sketches hardly ever exceeds at this similarity.
+
+    The expectation and some standard deviations: of the samples that differ,
+    and of the parities that they leave.
+    """
+    load = 4 * samples * (1 - similarity) / BITS
+    spread = (2 * math.exp(-load)) ** 2 * samples * similarity * (1 - similarity) + BITS / 4 * (1 - math.exp(-2 * load))
+    return BITS / 2 * (1 - math.exp(-load)) + deviations * math.sqrt(spread)
 
 
 # -- groups of sorted rows -----------------------------------------------------
@@ -174,7 +182,7 @@ def _links(rows: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
 def _alike(classes: DataFrame, limit: float, block: int) -> DataFrame:
     """Spanning links, bucket by bucket, between classes whose sketches differ in at most ``limit`` bits."""
     slim = classes.select("rep", F.explode("buckets").alias("bucket"))
-    shared = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1")
+    shared = stage(slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1"), "buckets")
     members = slim.join(shared, "bucket").join(classes.select("rep", "s0", "s1", "s2", "s3"), "rep")
     dealt = _dealt(members, "bucket", block).select("bucket", "x", "y", "rep", "s0", "s1", "s2", "s3")
     dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "rep")
@@ -198,8 +206,9 @@ def _alike(classes: DataFrame, limit: float, block: int) -> DataFrame:
 
 def _confirmed(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     """Spanning links, cluster by cluster, between classes whose full sets are similar enough."""
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n_members"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.join(sizes, "root"), "rep")
+    sizes = stage(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n_members")), "cluster-sizes")
+    # clusters grow with the corpus, so the join is a shuffle at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.join(sizes, "root").hint("merge"), "rep")
     dealt = _dealt(texts, "root", block).select("root", "x", "y", "rep", "h1", "text")
     dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "rep")
 
@@ -247,13 +256,13 @@ def _confirmed(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block
     return dealt.mapInArrow(run, LINKS)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float = 0.25, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document row.
 
     Documents whose sets of distinct ``k``-word shingles have a Jaccard
     similarity of ``percent`` at least are linked; component_id is the smallest
     doc_id reachable. A link is missed with probability 1e-5 at most by the
-    bands, and by the sketches only if they misjudge it by ``slack``. Texts
+    bands, and by the sketches only beyond five standard deviations. Texts
     without words, null texts and rows without doc_id link with nothing; their
     component is themselves (null without id) and they are kept. Rows that
     repeat a doc_id are judged each by its own text, and are kept together.
@@ -263,7 +272,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slack: float
     signed = stage(sign(docs, k, bands), "signatures")
     first = [F.first(c).alias(c) for c in ("buckets", "s0", "s1", "s2", "s3")]
     classes = stage(signed.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *first), "classes")
-    limit = most_different_bits(max(0.0, threshold - slack), bands * ROWS)
+    limit = most_different_bits(threshold, min(SKETCHED, bands * ROWS))
     alike = components(_alike(classes, limit, 2 * block))
     clusters = stage(alike.withColumnRenamed("vertex", "rep").join(classes.select("rep", "h1"), "rep"), "clusters")
     roots = components(_confirmed(docs, clusters, k, percent, block))
