@@ -93,7 +93,8 @@ def repeated_edges(docs: DataFrame, window: int = 50, k: int = 12) -> DataFrame:
 
     paths = stage(texts.mapInArrow(cut, PATHS), "paths")
     nodes = paths.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("path").alias("p0"), F.max("path").alias("p1"))
-    nodes = nodes.filter("low < high").select("node", "low", (F.col("p0") != F.col("p1")).alias("branches"))
+    # staged sums have no partitioning that a join would have to keep, so AQE can split a hot node
+    nodes = stage(nodes.filter("low < high").select("node", "low", (F.col("p0") != F.col("p1")).alias("branches")), "nodes")
     shared = stage(paths.join(nodes, "node"), "shared-paths")
 
     full = F.expr("shiftleft(1L, n) - 1L")
@@ -128,7 +129,7 @@ def repeated_edges(docs: DataFrame, window: int = 50, k: int = 12) -> DataFrame:
 
     edges = stage(texts.join(wanted, "doc_id").mapInArrow(read, EDGES), "edges")
     least = edges.groupBy("node", "edge").agg(F.min("low").alias("least"))
-    held = edges.join(least, ["node", "edge"]).groupBy("node", "path").agg(F.collect_list(F.struct("at", "least")).alias("held"))
+    held = stage(edges.join(least, ["node", "edge"]).groupBy("node", "path").agg(F.collect_list(F.struct("at", "least")).alias("held")), "held")
     bits = F.aggregate(F.filter("held", lambda e: e["least"] < F.col("doc_id")), F.lit(0).cast("long"), lambda acc, e: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e["at"])))
     branched = branching.join(held, ["node", "path"]).select("doc_id", "start", bits.alias("mask")).filter("mask <> 0")
     return plain.union(branched).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
