@@ -34,12 +34,13 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     Of equal payloads of at least ``min_bytes`` bytes those with the smallest
     page_id are responses (all of them, if it is repeated), the others refer to
     it. A null html is an empty payload; rows without page_id are responses.
-    The aggregate combines on the map side and AQE splits a hot digest's join.
+    The aggregate combines on the map side, and its staged result is broadcast
+    if it is small, or else joined by a shuffle in which AQE splits a hot digest.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select("page_id", "url", F.encode(body, "UTF-8").alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     slim = pages.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("page_id").alias("n"))
-    first = slim.filter("n > 1").select("payload_digest", "refers_to")
+    first = stage(slim.filter("n > 1").select("payload_digest", "refers_to"), "payloads")
     joined = pages.join(first, "payload_digest", "left")
     return joined.withColumn("refers_to", F.when(F.col("refers_to") < F.col("page_id"), F.col("refers_to")))
 
@@ -139,7 +140,9 @@ def read_warc(index: DataFrame, with_payload: bool = True, gap: int = 1 << 16, r
                     made.append(parse_record(zlib.decompress(data[at : at + part["length"]], 31), with_payload))
                 yield _batch(made, ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"], _RECORD_TYPES)
 
-    return byte_runs(index, gap, run_bytes).mapInArrow(read, RECORD)
+    # few bytes of index stand for many of archive, so their number of partitions is fixed
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return byte_runs(index, gap, run_bytes).repartition(tasks, "file", "begin").mapInArrow(read, RECORD)
 
 
 def parse_record(record: bytes, with_payload: bool = True) -> tuple:
