@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import sample_by_hash, stage
 from .words import CHUNK_BYTES, text_buffers
 
 NONE = "und"  # no known language
@@ -58,13 +58,14 @@ def _slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 4000, chars: int = 4000) -> TextModel:
-    """Fit on the ``rows`` labelled texts that come first by hash, of each at most ``chars`` characters.
+    """Fit on at most ``rows`` different labelled texts, chosen by hash, of each at most ``chars`` characters.
 
     These two bounds hold what comes to the driver; no other step samples. With
     no labelled row at all the only language is ``und``.
     """
     good = labelled.filter(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
-    sample = good.select(F.lower(F.col(lang)).alias("lang"), F.substring(text, 1, chars).alias("text")).orderBy(F.xxhash64("text", "lang"), "text", "lang").limit(rows).collect()
+    slim = good.select(F.lower(F.col(lang)).alias("lang"), F.substring(text, 1, chars).alias("text"))
+    sample = sample_by_hash(slim, ["text", "lang"], rows).collect()
     by: dict[str, list[bytes]] = {}
     for r in sample:
         by.setdefault(r["lang"], []).append(r["text"].encode())
@@ -141,7 +142,7 @@ def identify(rows: DataFrame, model: TextModel, key: str) -> DataFrame:
     def counts(by: str) -> DataFrame:
         """For each value of a column the rows of each language, and their sum; combines on the map side."""
         sums = [F.count(F.when((F.col("best") == j) & (F.col("n_trigrams") > 0), 1)) for j in range(n)]
-        return scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*sums).alias(f"{by}_n"))
+        return stage(scored.filter(F.col(by).isNotNull()).groupBy(by).agg(F.array(*sums).alias(f"{by}_n")), f"{by}-counts")
 
     everywhere = scored.filter("n_trigrams > 0").groupBy("best").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
     of = {r["best"]: r["n"] for r in everywhere}

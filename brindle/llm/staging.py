@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -55,5 +56,17 @@ def _remove_all() -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sample_by_hash(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows that differ in ``columns``, those first by hash; for fitting and pivots only.
+
+    Rows are thinned by their hash before any are sorted, so that tasks send
+    about twice the rows in all, however many tasks there are.
+    """
+    share = min(1.0, 2 * rows / max(1, df.count()))
+    hashed = df.withColumn("__hash", F.xxhash64(*columns))
+    thinned = hashed.filter(F.shiftrightunsigned("__hash", 2) <= int(share * (1 << 62)))
+    return thinned.dropDuplicates(["__hash"]).orderBy("__hash").limit(rows).drop("__hash")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

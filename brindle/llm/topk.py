@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import sample_by_hash, stage
 
 ROUTED = "vec_id long, v array<long>, cell int, dist double"
 SENT = "cell int, block int, query_id long, v array<long>, floor long"
@@ -131,7 +131,7 @@ def top_k(vectors: DataFrame, query_filter: str, k: int = 20, n_pivots: int = 64
 
 
 def _top_k_of(rows: DataFrame, query_filter: str, k: int, n_pivots: int, trial_cells: int, block_rows: int) -> DataFrame:
-    chosen = rows.orderBy(F.xxhash64("v"), "vec_id").limit(n_pivots).collect()
+    chosen = sample_by_hash(rows, ["v"], n_pivots).collect()
     pivots = np.unique(np.array([r["v"] for r in chosen], dtype=np.float64), axis=0)
     routed = stage(_route(rows, pivots), "routed")
     cells = {r["cell"]: r for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()}

@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import sample_by_hash
+
 WINDOW = 4  # words
 GRAM = 6  # bytes
 LEVEL = 12
@@ -204,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rate = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     texts: dict[int, list[str]] = {}
     for toxic, rows in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
-        chosen = known.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id")
+        chosen = sample_by_hash(known.filter(F.col("toxic") == toxic), ["doc_id"], rows).select("doc_id")
         found = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"))  # at most ``rows`` ids
         texts[toxic] = [r["text"] for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()]
     return train(texts[1], texts[0], rate)
