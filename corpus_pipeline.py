@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from brindle.llm import decontam, langid, neardup, pieces, secrets
 from brindle.llm.queries import contaminated
 from brindle.llm.staging import stage, table
+from brindle.shipping import shipped
 
 ROW = "__row"
 
@@ -67,11 +68,11 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("secret_scan", secret_scan),
-    ("encoding", encoding),
+    ("language", shipped(language)),
+    ("near_duplicates", shipped(near_duplicates)),
+    ("decontamination", shipped(decontamination)),
+    ("secret_scan", shipped(secret_scan)),
+    ("encoding", shipped(encoding)),
 ]
 
 # Language models, exact near-duplicate groups and pieces are beyond SQL.
