@@ -99,65 +99,67 @@ class Model:
             return [self.unknown]
         return self.byte_ids[np.frombuffer(char.encode("utf-8", "surrogatepass"), np.uint8)].tolist()
 
-    def _ids(self, word: str, bounds: list[int]) -> list[int]:
-        out: list[int] = []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            i = self.ids.get(word[a:b])
-            out += [i] if i is not None else self._fallback(word[a:b])
-        return out
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each stretch; ``words`` use U+2581 for a space."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(counts, ids): how many pieces each stretch has, and all their ids; ``words`` use U+2581 for a space."""
         by_length: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             by_length[len(w)].append(i)
-        out: list[list[int]] = [[] for _ in words]
+        owners, ids = [], []
         for length, where in by_length.items():
-            if self.kind == BPE and length > LOCKSTEP:
-                for i in where:
-                    out[i] = self._ids(words[i], self._merge_long(words[i]))
-                continue
-            step = max(1, (1 << 18) // max(1, length))
+            step = 1 if self.kind == BPE and length > LOCKSTEP else max(1, (1 << 18) // max(1, length))
             for a in range(0, len(where), step):
-                part = where[a : a + step]
-                own = [words[i] for i in part]
-                bounds = self._viterbi(own, length) if self.kind == UNIGRAM else self._merge(own, length)
-                for i, b in zip(part, bounds, strict=True):
-                    out[i] = self._ids(words[i], b)
-        return out
+                part = np.array(where[a : a + step])
+                own = [words[i] for i in part.tolist()]
+                sums, down = _prefix(own, length)
+                if self.kind == UNIGRAM:
+                    row, begin, end = self._viterbi(sums, down, length)
+                elif length > LOCKSTEP:
+                    bounds = np.array(self._merge_long(own[0]))
+                    row, begin, end = np.zeros(len(bounds) - 1, np.int64), bounds[:-1], bounds[1:]
+                else:
+                    row, begin, end = self._merge(sums, down, length)
+                found, row = self._ids(own, sums, down, row, begin, end)
+                owners.append(part[row])
+                ids.append(found)
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.bincount(owner, minlength=len(words)), np.concatenate(ids)[order]
+
+    def _ids(self, words: list[str], sums: np.ndarray, down: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, and whose they are; a character without piece becomes its bytes' pieces."""
+        at = self.probe(_spans(sums, down, row, begin, end))
+        ids = self.key_ids[at]
+        lost = np.flatnonzero(at < 0)
+        if not len(lost):
+            return ids, row
+        more = [self._fallback(words[row[i]][begin[i] : end[i]]) for i in lost.tolist()]
+        n = np.ones(len(ids), np.int64)
+        n[lost] = [len(m) for m in more]
+        place = np.cumsum(n) - n
+        out = np.repeat(ids, n)
+        for i, m in zip(place[lost].tolist(), more, strict=True):
+            out[i : i + len(m)] = m
+        return out, np.repeat(row, n)
 
     # -- equal-length words ----------------------------------------------------
 
-    def _merge(self, words: list[str], length: int) -> list[list[int]]:
-        """Bounds of the symbols after all merges; each step merges one pair in every word that still has one."""
-        n = len(words)
-        result: list[list[int]] = [[] for _ in range(n)]
-        sums, down = _prefix(words, length)
+    def _merge(self, sums: np.ndarray, down: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, begin, end) of the symbols after all merges; each step merges one pair in every word that still has one."""
+        alive = np.arange(len(sums))
+        bounds = np.tile(np.arange(length + 1), (len(sums), 1))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
 
         def ranks(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-            at = self.probe(mix((sums[row, end] - sums[row, begin]) * down[begin] + (end - begin).astype(U64)))
+            at = self.probe(_spans(sums, down, row, begin, end))
             return np.where(at >= 0, self.key_ranks[at], NEVER)
 
-        alive = np.arange(n)
-        bounds = np.tile(np.arange(length + 1), (n, 1))
-        if length > 1:
-            rows = np.repeat(alive, length - 1)
-            pair = ranks(rows, bounds[:, :-2].ravel(), bounds[:, 2:].ravel()).reshape(n, length - 1)
-        else:
-            pair = np.zeros((n, 0), np.int64)
-        while len(alive):
-            if pair.shape[1] == 0:
-                for r, i in enumerate(alive.tolist()):
-                    result[i] = bounds[r].tolist()
-                break
+        pair = ranks(np.repeat(alive, length - 1), bounds[:, :-2].ravel(), bounds[:, 2:].ravel()).reshape(len(sums), length - 1)
+        while len(alive) and pair.shape[1]:
             best = np.argmin(pair, axis=1)
             going = pair[np.arange(len(alive)), best] < NEVER
             if not going.all():
-                for r in np.flatnonzero(~going).tolist():
-                    result[alive[r]] = bounds[r].tolist()
+                done.append((alive[~going], bounds[~going]))
                 alive, bounds, pair, best = alive[going], bounds[going], pair[going], best[going]
-                if not len(alive):
-                    break
             width = pair.shape[1]
             column = np.arange(width + 2)
             bounds = bounds[column[None, :] != best[:, None] + 1].reshape(len(alive), width + 1)
@@ -167,12 +169,13 @@ class Model:
                 ok = np.flatnonzero((at >= 0) & (at < width - 1))
                 if len(ok):
                     pair[ok, at[ok]] = ranks(alive[ok], bounds[ok, at[ok]], bounds[ok, at[ok] + 2])
-        return result
+        done.append((alive, bounds))
+        rows = np.concatenate([np.repeat(r, b.shape[1] - 1) for r, b in done])
+        return rows, np.concatenate([b[:, :-1].ravel() for _, b in done]), np.concatenate([b[:, 1:].ravel() for _, b in done])
 
-    def _viterbi(self, words: list[str], length: int) -> list[list[int]]:
-        """Bounds of the segmentation with the highest sum of scores; a character without piece costs more than any."""
-        n = len(words)
-        sums, down = _prefix(words, length)
+    def _viterbi(self, sums: np.ndarray, down: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, begin, end) of the segments with the highest sum of scores; a character without piece costs more than any."""
+        n = len(sums)
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((n, length + 1), np.int64)
@@ -184,13 +187,14 @@ class Model:
             choice = np.argmax(score, axis=1)
             best[:, end] = score[np.arange(n), choice]
             back[:, end] = begin[choice]
-        out = []
-        for row in back.tolist():
-            bounds = [length]
-            while bounds[-1] > 0:
-                bounds.append(row[bounds[-1]])
-            out.append(bounds[::-1])
-        return out
+        row, end, parts = np.arange(n), np.full(n, length), []
+        while len(row):  # all words step back together
+            begin = back[row, end]
+            parts.append((row, begin, end))
+            row, end = row[begin > 0], begin[begin > 0]
+        row, begin, end = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((begin, row))
+        return row[order], begin[order], end[order]
 
     def _merge_long(self, word: str) -> list[int]:
         """As ``_merge``, for one long stretch, in the time of a heap."""
@@ -227,6 +231,11 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+def _spans(sums: np.ndarray, down: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the substrings of words."""
+    return mix((sums[row, end] - sums[row, begin]) * down[begin] + (end - begin).astype(U64))
+
+
 def _hash_one(piece: str) -> int:
     codes = np.array([[ord(c) for c in piece]], dtype=U64)
     sums, _ = _prefix_of(codes)
@@ -276,12 +285,11 @@ class Encoder:
             self._forget()
         fresh = [w for w in dict.fromkeys(cut) if w not in self.known]
         if fresh:
-            made = self.model.encode_words([w.replace(" ", SPACE) for w in fresh])
+            n, made = self.model.encode_words([w.replace(" ", SPACE) for w in fresh])
             self.known.update(zip(fresh, range(len(self.n), len(self.n) + len(fresh)), strict=True))
-            n = np.array([len(x) for x in made], dtype=np.int64)
             self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(n) - n))
             self.n = np.concatenate((self.n, n))
-            self.flat = np.concatenate((self.flat, np.fromiter((i for x in made for i in x), np.int32, int(n.sum()))))
+            self.flat = np.concatenate((self.flat, made.astype(np.int32)))
         codes = np.fromiter(map(self.known.__getitem__, cut), np.int64, len(cut))
         n = self.n[codes]
         total = np.concatenate(([0], np.cumsum(n)))
@@ -289,6 +297,18 @@ class Encoder:
         return total[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))], ids
 
 
+_encoders: dict[bytes, Encoder] = {}
+
+
+def shared_encoder(serialised: bytes) -> Encoder:
+    """This process's encoder of a model, so that one task's stretches are known to the next."""
+    key = hashlib.sha256(serialised).digest()
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(Model(serialised))
+    return _encoders[key]
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -312,12 +332,9 @@ def encode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id",
     model file is read on the driver and broadcast, if it has 64 MB at most.
     """
     sent = _sent(docs, model_path or default_model())
-    encoders: list[Encoder] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not encoders:
-            encoders.append(Encoder(Model(sent.value)))
-        encoder = encoders[0]
+        encoder = shared_encoder(sent.value)
         for batch in batches:
             column = batch.column(1)
             _, offsets = text_buffers(column)
@@ -341,13 +358,11 @@ def encode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id",
 def decode(encoded: DataFrame, model_path: str | None = None, key: str = "doc_id") -> DataFrame:
     """(key, text) from (key, ids); null ids give a null text."""
     sent = _sent(encoded, model_path or default_model())
-    models: list[Model] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not models:
-            models.append(Model(sent.value))
+        model = shared_encoder(sent.value).model
         for batch in batches:
-            texts = [None if x is None else models[0].decode(np.array(x, dtype=np.int64)) for x in batch.column(1).to_pylist()]
+            texts = [None if x is None else model.decode(np.array(x, dtype=np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return encoded.select(F.col(key).cast("long").alias(key), "ids").mapInArrow(run, f"`{key}` long, text string")
