@@ -117,8 +117,8 @@ def _item(kind, arg) -> tuple[set[str] | None, Query]:
         if all(e is not None for e, _ in parts) and sum(len(e) for e, _ in parts) <= MAX_STRINGS:
             return set().union(*(e for e, _ in parts)), None
         query: Query = []
-        for e, q in parts:
-            query = _either(query, _both(q, _of_strings(e) if e else None))
+        for _, q in parts:
+            query = _either(query, q)
         return None, query
     if kind in (op.MAX_REPEAT, op.MIN_REPEAT):
         low, high, body = arg
@@ -129,7 +129,7 @@ def _item(kind, arg) -> tuple[set[str] | None, Query]:
             return exact | {""}, None
         if low == 0:
             return None, None
-        return None, _both(query, _of_strings(exact) if exact else None)
+        return None, query
     if kind is op.AT:
         return {""}, None
     return None, None
@@ -137,8 +137,7 @@ def _item(kind, arg) -> tuple[set[str] | None, Query]:
 
 def trigram_query(pattern: str) -> Query:
     """An OR of sets of lower-case trigrams, one of which every match contains whole; None if there is none."""
-    exact, query = _analyse(parser.parse(pattern))
-    return _both(query, _of_strings(exact) if exact else None)
+    return _analyse(parser.parse(pattern))[1]
 
 
 # -- index ---------------------------------------------------------------------
