@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .staging import sample_by_hash, stage
 
-ROUTED = "vec_id long, v array<long>, cell int, dist double"
+ROUTED = "vec_id long, v array<long>, cell int, dist double, salt long"
 SENT = "cell int, block int, query_id long, v array<long>, floor long"
 FOUND = "query_id long, vec_id long, score long"
 EXACT = float(1 << 52)
@@ -51,13 +51,16 @@ def _route(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     squares = (pivots**2).sum(1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             x = _matrix(batch.column(1)).astype(np.float64)
             if not len(x):
                 continue
+            salt = np.arange(seen, seen + len(x))
+            seen += len(x)
             near = np.argmin(squares - 2 * (x @ pivots.T), axis=1)
             dist = np.sqrt(((x - pivots[near]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(dist)], names=["vec_id", "v", "cell", "dist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32()), pa.array(dist), pa.array(salt)], names=["vec_id", "v", "cell", "dist", "salt"])
 
     return rows.mapInArrow(assign, ROUTED)
 
@@ -140,8 +143,8 @@ def _top_k_of(rows: DataFrame, query_filter: str, k: int, n_pivots: int, trial_c
     radii = np.array([cells[c]["radius"] for c in names]) * (1 + 1e-9) + 1e-6
     blocks = np.array([max(1, math.ceil(cells[c]["n"] / block_rows)) for c in names])
     n_blocks = F.element_at(F.create_map(*(F.lit(int(x)) for pair in zip(names, blocks, strict=True) for x in pair)), F.col("cell"))
-    # rows that repeat a vec_id are dealt apart, too
-    data = routed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), n_blocks).cast("int").alias("block"))
+    # the salt is staged, so that a lost task's rows go where they went before; it deals repeats of a vec_id apart
+    data = routed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", "salt"), n_blocks).cast("int").alias("block"))
     queries = stage(routed.filter(query_filter).select("vec_id", "v").distinct(), "queries")
 
     def send(first: bool):
