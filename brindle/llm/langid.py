@@ -22,6 +22,7 @@ from .words import CHUNK_BYTES, text_buffers
 NONE = "und"  # no known language
 SLOTS_BITS = 16
 TEMPER = 0.25  # trigrams overlap and repeat; their joint likelihood counts for less than their product
+NOISE = 0.05  # trigrams of any text that are names, keys and the like
 PARENT_WEIGHT, HOST_WEIGHT, TABLE_WEIGHT = 20.0, 10.0, 1.0
 
 
@@ -70,12 +71,13 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     for r in sample:
         by.setdefault(r["lang"], []).append(r["text"].encode())
     languages = sorted(by)
-    table = np.full((len(languages) + 1, 1 << SLOTS_BITS), -np.log(1 << 13), dtype=np.float32)
+    table = np.full((len(languages) + 1, 1 << SLOTS_BITS), -np.log(1 << SLOTS_BITS), dtype=np.float32)
     for j, name in enumerate(languages):
         counts = np.zeros(1 << SLOTS_BITS)
         for t in by[name]:
             np.add.at(counts, _slots(np.frombuffer(t, np.uint8))[0], 1)
-        table[j] = np.log((counts + 0.05) / (counts.sum() + 0.05 * len(counts)))
+        own = (counts + 0.01) / (counts.sum() + 0.01 * len(counts))
+        table[j] = np.log((1 - NOISE) * own + NOISE / len(counts))
     return TextModel([*languages, NONE], table)
 
 
