@@ -28,7 +28,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 NEVER = np.int64(1 << 62)
 LOCKSTEP = 256  # longer stretches are merged one by one, by a heap
-CACHED = 400_000
+CACHED = 200_000
 MODEL_BYTES = 1 << 26
 _BASE = 0x8F14E45FCEEA167B
 
