@@ -58,7 +58,7 @@ def _slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((key[start] * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS_BITS)).astype(np.int64), start
 
 
-def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 4000, chars: int = 4000) -> TextModel:
+def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 1500, chars: int = 2000) -> TextModel:
     """Fit on at most ``rows`` different labelled texts, chosen by hash, of each at most ``chars`` characters.
 
     These two bounds hold what comes to the driver; no other step samples. With
