@@ -3,8 +3,8 @@
 The text's likelihood comes from byte trigrams. The declared markup language
 and the address suffix speak through tables of how often each goes with each
 language. The host's prior is smoothed by its parent domain's, and that by the
-whole corpus's. All these tables are grouped aggregations over all rows; only
-the trigram model is fitted on a bounded sample.
+whole corpus's. All these tables, and the trigram counts of each language, are
+grouped aggregations over all rows; a language that one row has is a language.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import sample_by_hash, stage
+from .staging import stage
 from .words import CHUNK_BYTES, text_buffers
 
 NONE = "und"  # no known language
@@ -24,6 +24,7 @@ SLOTS_BITS = 16
 TEMPER = 0.25  # trigrams overlap and repeat; their joint likelihood counts for less than their product
 NOISE = 0.05  # trigrams of any text that are names, keys and the like
 PARENT_WEIGHT, HOST_WEIGHT, TABLE_WEIGHT = 20.0, 10.0, 1.0
+HELD = 64  # languages whose counts a task holds before it passes them on
 
 
 class TextModel:
@@ -58,29 +59,70 @@ def _slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((key[start] * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS_BITS)).astype(np.int64), start
 
 
-def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 1500, chars: int = 2000) -> TextModel:
-    """Fit on at most ``rows`` different labelled texts, chosen by hash, of each at most ``chars`` characters.
+def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int | None = None, chars: int = 2000) -> TextModel:
+    """Fit on all different labelled texts, of each at most ``chars`` characters, or on ``rows`` of each language, those first by hash.
 
-    These two bounds hold what comes to the driver; no other step samples. With
-    no labelled row at all the only language is ``und``.
+    Executors count the trigrams; at most 65,536 counts a language come to the
+    driver, whatever the number of rows. With no labelled row at all the only
+    language is ``und``.
     """
     good = labelled.filter(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
     slim = good.select(F.lower(F.col(lang)).alias("lang"), F.substring(text, 1, chars).alias("text"))
-    sample = sample_by_hash(slim, ["text", "lang"], rows).collect()
-    by: dict[str, list[bytes]] = {}
-    for r in sample:
-        by.setdefault(r["lang"], []).append(r["text"].encode())
+    different = slim.withColumn("__hash", F.xxhash64("text", "lang")).dropDuplicates(["__hash"])
+    if rows is not None:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("__hash"))
+        different = different.withColumn("__place", place).filter(F.col("__place") <= rows)
+    counted = different.select("lang", "text").mapInArrow(_count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    names, slots, n = counted.column("lang").combine_chunks().dictionary_encode(), counted.column("slot").to_numpy(), counted.column("n").to_numpy()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(codes, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else []
+    by = dict(zip(names.dictionary.to_pylist(), parts, strict=True))
     languages = sorted(by)
     table = np.full((len(languages) + 1, 1 << SLOTS_BITS), -np.log(1 << SLOTS_BITS), dtype=np.float32)
     for j, name in enumerate(languages):
         counts = np.zeros(1 << SLOTS_BITS)
-        for t in by[name]:
-            np.add.at(counts, _slots(np.frombuffer(t, np.uint8))[0], 1)
+        counts[slots[by[name]]] = n[by[name]]
         own = (counts + 0.01) / (counts.sum() + 0.01 * len(counts))
         table[j] = np.log((1 - NOISE) * own + NOISE / len(counts))
     return TextModel([*languages, NONE], table)
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, slot, n) of rows (lang, text); a pair may come more than once."""
+    held: dict[str, np.ndarray] = {}
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for name, counts in held.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at])], names=["lang", "slot", "n"])
+        held.clear()
+
+    for batch in batches:
+        names = batch.column(0).dictionary_encode()
+        codes, names = names.indices.to_numpy(zero_copy_only=False), names.dictionary.to_pylist()
+        raw, offsets = text_buffers(batch.column(1))
+        at = 0
+        while at < batch.num_rows:
+            to = min(max(int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1, at + 1), batch.num_rows)
+            part = offsets[at : to + 1] - offsets[at]
+            slot, start = _slots(raw[offsets[at] : offsets[to]])
+            row = np.searchsorted(part, start, side="right") - 1
+            inside = start + 2 < part[row + 1]  # a trigram ends inside its text
+            slot, code = slot[inside], codes[at:to][row[inside]]
+            order = np.argsort(code, kind="stable")
+            for mine in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                if len(mine):
+                    name = names[code[mine[0]]]
+                    if name not in held:
+                        if len(held) >= HELD:
+                            yield from passed()
+                        held[name] = np.zeros(1 << SLOTS_BITS, np.int64)
+                    held[name] += np.bincount(slot[mine], minlength=1 << SLOTS_BITS)
+            at = to
+    yield from passed()
+
+
 def host_of(url: Column) -> Column:
     """The lower-case host of an address; null if there is none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
@@ -114,7 +156,10 @@ def identify(rows: DataFrame, model: TextModel, key: str) -> DataFrame:
 
     Adds to the key: lang, confidence, rejected, text_lang, n_trigrams. A row is
     rejected (lang ``und``) if its text has no trigram with a letter, whatever
-    is declared, or if its evidence fits no known language better than chance.
+    is declared, or if its evidence fits no known language better than chance
+    and the model knows what is declared, or nothing is. If it doesn't know a
+    declared language, which then can't be told from chance, that stays, with
+    the confidence that it is no known one; a model without languages rejects all.
     A null declaration, suffix or host says nothing; unseen ones say little, by
     smoothing. Ties go to the first language by name. Repeated rows count each;
     a row's own text doesn't speak twice, for its host's counts leave it out.
@@ -150,36 +195,42 @@ def identify(rows: DataFrame, model: TextModel, key: str) -> DataFrame:
     of = {r["best"]: r["n"] for r in everywhere}
     total = sum(of.values())
     overall = [(of.get(j, 0) + 1.0) / (total + n) for j in range(n)]
-    out = scored
-    for by in ("host", "parent", "declared", "suffix"):
+    out, zeros = scored, F.array_repeat(F.lit(0).cast("long"), n)
+    tables = ("host", "parent", "declared", "suffix")
+    for by in tables:
         out = out.join(counts(by), by, "left")
 
-    def array(c: str) -> list[Column]:
-        return [F.coalesce(F.col(f"{c}_n")[j], F.lit(0)) for j in range(n)]
-
-    own = [F.when((F.col("best") == j) & (F.col("n_trigrams") > 0), 1).otherwise(0) for j in range(n)]
-    in_parent = [F.greatest(F.lit(0), x - o) for x, o in zip(array("parent"), own, strict=True)]
-    in_host = [F.greatest(F.lit(0), x - o) for x, o in zip(array("host"), own, strict=True)]
-    all_parent, all_host = sum(in_parent[1:], in_parent[0]), sum(in_host[1:], in_host[0])
-    parent = [(x + PARENT_WEIGHT * p) / (all_parent + PARENT_WEIGHT) for x, p in zip(in_parent, overall, strict=True)]
-    out = out.withColumn("__parent", F.array(*parent))
-    prior = [F.log((x + HOST_WEIGHT * F.col("__parent")[j]) / (all_host + HOST_WEIGHT)) for j, x in enumerate(in_host)]
-
-    def table(c: str) -> list[Column]:
-        """log P(value | language), up to a constant, where there is a value."""
-        seen = [F.greatest(F.lit(0), x - o) for x, o in zip(array(c), own, strict=True)]
-        every = sum(seen[1:], seen[0])
-        return [F.when(F.col(c).isNull(), 0.0).otherwise(F.log((x + TABLE_WEIGHT * overall[j]) / (every + TABLE_WEIGHT) / overall[j])) for j, x in enumerate(seen)]
-
-    declared, suffix = table("declared"), table("suffix")
-    post = F.array(*(F.col("ll")[j] + prior[j] + declared[j] + suffix[j] for j in range(n)))
-    out = out.withColumn("__post", post).withColumn("__top", F.array_max("__post"))
-    which = (F.array_position("__post", F.col("__top")) - 1).cast("int")
-    share = 1 / F.aggregate("__post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
-    names = F.array(*(F.lit(x) for x in languages))
-    out = out.withColumn("__which", F.when(F.col("n_trigrams") > 0, which).otherwise(n - 1))
-    confidence = F.when(F.col("n_trigrams") > 0, share).otherwise(0.0)
-    return out.select(key, F.get(names, F.col("__which")).alias("lang"), confidence.alias("confidence"), (F.col("__which") == n - 1).alias("rejected"), F.get(names, F.col("best")).alias("text_lang"), "declared", "host", "n_trigrams")
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everyone = np.array(overall)
+        for batch in batches:
+            grams, best = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+            post = _flat(batch.column(5), n)
+            own = np.zeros(post.shape)
+            own[np.flatnonzero(grams > 0), best[grams > 0]] = 1
+            host, parent, declared, suffix = (np.maximum(0, _flat(batch.column(6 + i), n) - own) for i in range(4))
+            prior = (parent + PARENT_WEIGHT * everyone) / (parent.sum(1, keepdims=True) + PARENT_WEIGHT)
+            post = post + np.log((host + HOST_WEIGHT * prior) / (host.sum(1, keepdims=True) + HOST_WEIGHT))
+            for column, seen in ((1, declared), (10, suffix)):  # log P(value | language), up to a constant, where there is a value
+                told = np.log((seen + TABLE_WEIGHT * everyone) / (seen.sum(1, keepdims=True) + TABLE_WEIGHT) / everyone)
+                post = post + told * batch.column(column).is_valid().to_numpy(zero_copy_only=False)[:, None]
+            which = np.where(grams > 0, np.argmax(post, axis=1), n - 1)
+            share = np.where(grams > 0, 1 / np.exp(post - post.max(1, keepdims=True)).sum(1), 0.0)
+            names = np.array(languages, dtype=object)
+            lang, rejected = names[which], which == n - 1
+            if n > 1:
+                stated = batch.column(1).to_pylist()
+                for i in np.flatnonzero(rejected & (grams > 0)).tolist():
+                    if stated[i] and stated[i] not in known:
+                        lang[i], rejected[i] = stated[i], False
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(share), pa.array(rejected), pa.array(names[best], pa.string()), *(batch.column(i) for i in (1, 2, 3))], names=[key, "lang", "confidence", "rejected", "text_lang", "declared", "host", "n_trigrams"])
+
+    known = set(languages)
+    fused = out.select(key, "declared", "host", "n_trigrams", "best", "ll", *(F.coalesce(f"{by}_n", zeros) for by in tables), "suffix")
+    return fused.mapInArrow(fuse, f"`{key}` long, lang string, confidence double, rejected boolean, text_lang string, declared string, host string, n_trigrams long")
+
+
+def _flat(lists: pa.Array, n: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
 
 
 def pages_evidence(pages: DataFrame) -> DataFrame:

@@ -90,3 +90,30 @@ def test_nothing_labelled(spark):
     assert model.languages == ["und"]
     assert langid.identify(langid.documents_evidence(empty), model, "doc_id").count() == 0
     assert langid.identify(langid.documents_evidence(cases.docs(spark)), model, "doc_id").filter("not rejected").count() == 0
+
+
+def test_a_rare_language_is_known(spark):
+    """One row among thousands is enough for its language, whatever its hash."""
+    rng = random.Random(5)
+    rows = [(i, text(rng, "en", 12), "en", "s") for i in range(4000)]
+    rare = [(4000 + i, f"საქართველო არის ქვეყანა {w} მდებარეობს კავკასიაში და აღმოსავლეთ ევროპაში", f"x{i}", "s") for i, w in enumerate(["ერთი", "ორი", "სამი", "ოთხი", "ხუთი", "ექვსი"])]
+    df = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string, source string").repartition(3)
+    model = langid.fit_text_model(df)
+    assert model.languages == ["en", *(f"x{i}" for i in range(6)), "und"]
+    got = {r["doc_id"]: r for r in langid.identify(langid.documents_evidence(df), model, "doc_id").collect()}
+    assert not any(got[r[0]]["rejected"] for r in rows + rare)
+    assert langid.fit_text_model(df, rows=1).languages == model.languages
+
+
+def test_copies_count_once(spark):
+    rng = random.Random(6)
+    rows = [(text(rng, "de"), "de"), (text(rng, "en"), "en"), (text(rng, "en"), "en")]
+    once, often = (langid.fit_text_model(spark.createDataFrame(x, "text string, lang string")) for x in (rows, rows + rows[:2] * 50))
+    assert (once.table == often.table).all()
+
+
+def test_an_unknown_declared_language_is_no_ground_for_rejection(spark, model):
+    foreign = "საქართველო არის ქვეყანა მდებარეობს კავკასიაში " * 8
+    got = run(spark, model, [(1, foreign, "ka", "h", None, None), (2, foreign, None, "h", None, None), (3, foreign, "", "h", None, None), (4, "123", "ka", "h", None, None)])
+    assert (got[1]["lang"], got[1]["rejected"], got[1]["text_lang"]) == ("ka", False, "und")
+    assert all(got[i]["rejected"] and got[i]["lang"] == "und" for i in (2, 3, 4))
