@@ -57,15 +57,22 @@ def _remove_all() -> None:
 
 
 def sample_by_hash(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
-    """At most ``rows`` rows that differ in ``columns``, those first by hash; for fitting and pivots only.
+    """The ``rows`` rows first by hash of those that differ in ``columns``, all if there are fewer; for fitting and pivots only.
 
     Rows are thinned by their hash before any are sorted, so that tasks send
-    about twice the rows in all, however many tasks there are.
+    about twice the rows in all, however many tasks there are. The share is of
+    the different hashes, so that repeats don't thin them; should it leave too
+    few, nothing is thinned.
     """
-    share = min(1.0, 2 * rows / max(1, df.count()))
+    place = F.shiftrightunsigned("__hash", 2)
     hashed = df.withColumn("__hash", F.xxhash64(*columns))
-    thinned = hashed.filter(F.shiftrightunsigned("__hash", 2) <= int(share * (1 << 62)))
-    return thinned.dropDuplicates(["__hash"]).orderBy("__hash").limit(rows).drop("__hash")
+    different = hashed.select("__hash").distinct()
+    n = different.count()
+    if 2 * rows < n:
+        thin = place <= int(2 * rows / n * (1 << 62))
+        if different.filter(thin).count() >= rows:
+            hashed = hashed.filter(thin)
+    return hashed.dropDuplicates(["__hash"]).orderBy(place, "__hash").limit(rows).drop("__hash")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 
 from brindle.llm import topk
+from brindle.llm.staging import sample_by_hash
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cell int, score long"
 
@@ -40,3 +41,15 @@ def test_large_values_stay_integers(spark):
     df = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], SCHEMA)
     got = sorted(tuple(r) for r in topk.top_k(df, "vec_id % 20 = 0").collect())
     assert got == [(0, 1, 2, 64 * 64 * (6 * 10**18) + 64 * 128 - (1 << 64) * ((64 * 64 * 6 * 10**18 + 64 * 128 + (1 << 63)) >> 64)), (0, 2, 1, 64 * 64 * (6 * 10**18) + 64 * 64 - (1 << 64) * ((64 * 64 * 6 * 10**18 + 64 * 64 + (1 << 63)) >> 64))]
+
+
+def test_repeats_leave_pivots(spark):
+    """Many repeats of few vectors neither thin the pivots nor lose the result."""
+    for copies, distinct, wanted in ((200, 100, 64), (2000, 1, 1)):
+        df = spark.range(copies * distinct).selectExpr("id AS vec_id", f"array(id % {distinct}) AS v")
+        assert sample_by_hash(df, ["v"], 64).count() == wanted
+    assert sample_by_hash(spark.range(1000), ["id"], 5).count() == 5
+    for value in range(3):  # any of these may hash beyond the share
+        rows = [(i, [float(value), 1.0], 0, 0, 0) for i in range(300)]
+        got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA), "vec_id = 0", k=3).collect())
+        assert got == [(0, i, i, 4096 * (value**2 + 1)) for i in (1, 2, 3)]
