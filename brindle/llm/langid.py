@@ -59,15 +59,15 @@ def _slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((key[start] * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS_BITS)).astype(np.int64), start
 
 
-def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int | None = None, chars: int = 2000) -> TextModel:
-    """Fit on all different labelled texts, of each at most ``chars`` characters, or on ``rows`` of each language, those first by hash.
+def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int | None = None) -> TextModel:
+    """Fit on all different labelled texts, each whole, or on ``rows`` of each language, those first by hash.
 
     Executors count the trigrams; at most 65,536 counts a language come to the
     driver, whatever the number of rows. With no labelled row at all the only
     language is ``und``.
     """
     good = labelled.filter(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
-    slim = good.select(F.lower(F.col(lang)).alias("lang"), F.substring(text, 1, chars).alias("text"))
+    slim = good.select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
     different = slim.withColumn("__hash", F.xxhash64("text", "lang")).dropDuplicates(["__hash"])
     if rows is not None:
         place = F.row_number().over(Window.partitionBy("lang").orderBy("__hash"))

@@ -117,3 +117,12 @@ def test_an_unknown_declared_language_is_no_ground_for_rejection(spark, model):
     got = run(spark, model, [(1, foreign, "ka", "h", None, None), (2, foreign, None, "h", None, None), (3, foreign, "", "h", None, None), (4, "123", "ka", "h", None, None)])
     assert (got[1]["lang"], got[1]["rejected"], got[1]["text_lang"]) == ("ka", False, "und")
     assert all(got[i]["rejected"] and got[i]["lang"] == "und" for i in (2, 3, 4))
+
+
+def test_whole_texts_are_counted(spark):
+    """What a text says late, and what the five thousandth says, is learned as well."""
+    rng = random.Random(7)
+    rows = [(text(rng, "en", 2000) + " zvqx" * 2000, "en")] + [(f"{text(rng, 'de', 5)} {i}", "de") for i in range(5000)]
+    got = langid.fit_text_model(spark.createDataFrame(rows, "text string, lang string"))
+    late = langid._slots(np.frombuffer(b"zvqx", np.uint8))[0]
+    assert (got.table[got.languages.index("en")][late] > np.log(0.05)).all()
