@@ -36,7 +36,7 @@ HEAD = bytes(range(128, 176))
 STEPS, LOSSES = range(1, 10), (1, 2, 3, 5)
 THRESHOLD = 0.3
 # Sizes of the sample that the classifier is fitted on; nothing else is bounded.
-TOXIC_ROWS, ORDINARY_ROWS, FIT_CHARS = 3000, 6000, 16_000
+TOXIC_ROWS, ORDINARY_ROWS = 3000, 6000
 BATCH_BYTES = 1 << 19
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -198,8 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     The toxic share is counted over all of them. For the dictionaries and
     coefficients at most ``TOXIC_ROWS`` and ``ORDINARY_ROWS`` rows, those first
-    by hash, come to the driver, ``FIT_CHARS`` characters of each. Null labels
-    are none; without rows of both classes every score is the smoothed share.
+    by hash, come to the driver with their whole texts. Null labels are none; without rows of both classes every score is the smoothed share.
     """
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic").filter(~held_out(F.col("doc_id"))).distinct()
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -207,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     texts: dict[int, list[str]] = {}
     for toxic, rows in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)):
         chosen = sample_by_hash(known.filter(F.col("toxic") == toxic), ["doc_id"], rows).select("doc_id")
-        found = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"))  # at most ``rows`` ids
+        found = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text")  # at most ``rows`` ids
         texts[toxic] = [r["text"] for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()]
     return train(texts[1], texts[0], rate)
 

@@ -70,3 +70,10 @@ def test_windows_cover_the_whole_text():
     text = "A b, c! D e é f g h"
     assert toxicity.windows(text) == [b" a b c d ", " e é f g ".encode(), b" h "]
     assert toxicity.windows("") == [] and np.isfinite(toxicity._features(np.zeros(0))).all()
+
+
+def test_fitted_on_whole_texts(spark, monkeypatch):
+    rows = [(i, cases.prose(random.Random(i), 8000) + " " + RUDE[0], i % 2) for i in range(12)]
+    monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary, rate: (toxic, ordinary))
+    toxic, ordinary = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "text"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert toxic and ordinary and all(t.endswith(RUDE[0]) and len(t) > 16_000 for t in toxic + ordinary)
