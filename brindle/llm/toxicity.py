@@ -35,8 +35,11 @@ SHARED_BYTES, OWN_BYTES = 16384, 8192
 HEAD = bytes(range(128, 176))
 STEPS, LOSSES = range(1, 10), (1, 2, 3, 5)
 THRESHOLD = 0.3
-# Sizes of the sample that the classifier is fitted on; nothing else is bounded.
-TOXIC_ROWS, ORDINARY_ROWS = 3000, 6000
+# Bounds of what the classifier is fitted on; nothing else is bounded. Of the
+# ordinary rows' windows at most FIT_WINDOWS, drawn at random, train the
+# dictionaries. A stretch of toxic text is learned if at least one in SHARED_BY
+# of the sampled toxic texts has it, and never fewer than two (of under 8, one).
+TOXIC_ROWS, ORDINARY_ROWS, FIT_WINDOWS, SHARED_BY = 3000, 6000, 120_000, 350
 BATCH_BYTES = 1 << 19
 
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -148,7 +151,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 
 
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """The (ordinary, toxic) dictionaries of some labelled texts."""
+    """The (ordinary, toxic) dictionaries of some labelled texts, within ``FIT_WINDOWS`` and ``SHARED_BY``."""
     seen = np.zeros(0, np.uint64)
     for at in range(0, len(ordinary), 200):
         some = [_grams(b" %b " % b" ".join(_words(t))) for t in ordinary[at : at + 200]]
@@ -164,10 +167,10 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
         runs = [r for r in np.split(new, np.flatnonzero(np.diff(new) > 1) + 1) if len(r)]
         stretches += [data[r[0] : r[-1] + GRAM] for r in runs]
         texts_with.update(np.unique(grams[new]).tolist())
-    least = max(2 if len(toxic) >= 8 else 1, len(toxic) // 350)  # toxic texts that share a stretch
+    least = max(2 if len(toxic) >= 8 else 1, len(toxic) // SHARED_BY)  # toxic texts that share a stretch
     stretches = [s for s in stretches if max(texts_with[g] for g in _grams(s).tolist()) >= least]
     plain = [w for t in ordinary for w in windows(t)]
-    order = np.random.default_rng(0).permutation(len(plain))[:120_000]
+    order = np.random.default_rng(0).permutation(len(plain))[:FIT_WINDOWS]
     half = len(order) // 2
     shared = _trained([plain[i] for i in order[:half]], SHARED_BYTES)
     return shared + _trained([plain[i] for i in order[half:]], OWN_BYTES), shared + _trained(stretches, OWN_BYTES, k=32, d=6)

@@ -77,3 +77,17 @@ def test_fitted_on_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda toxic, ordinary, rate: (toxic, ordinary))
     toxic, ordinary = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "text"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert toxic and ordinary and all(t.endswith(RUDE[0]) and len(t) > 16_000 for t in toxic + ordinary)
+
+
+def test_the_fit_is_bounded_by_its_parameters_alone(monkeypatch):
+    rng = random.Random(9)
+    ordinary, trained = [cases.prose(rng, 40) for _ in range(10)], []
+    monkeypatch.setattr(toxicity, "_trained", lambda samples, size, **_: trained.append(samples) or b"")
+    monkeypatch.setattr(toxicity, "FIT_WINDOWS", 20)
+    monkeypatch.setattr(toxicity, "SHARED_BY", 3)
+    toxic = [f"{t} snozzle" if i < 3 else f"{t} grumbag" for i, t in enumerate(ordinary[:9])]
+    toxicity._dictionaries(toxic, ordinary)
+    assert [len(x) for x in trained[:2]] == [10, 10] and any(b"snozzle" in s for s in trained[2])
+    monkeypatch.setattr(toxicity, "SHARED_BY", 2)  # four texts must share it now
+    toxicity._dictionaries(toxic, ordinary)
+    assert not any(b"snozzle" in s for s in trained[5]) and any(b"grumbag" in s for s in trained[5])
