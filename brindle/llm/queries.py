@@ -60,7 +60,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+    return pieces.encode(table(spark, sf_dir, "documents"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

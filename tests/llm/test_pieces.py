@@ -6,7 +6,7 @@ from . import cases
 import numpy as np
 import pytest
 
-from brindle.llm import pieces
+from brindle.llm import pieces, queries
 
 MODEL = pieces.default_model()
 
@@ -78,3 +78,10 @@ def test_bad_models_and_ids():
     model = pieces.Model.of([("<unk>", 0.0, 2), ("a", -1.0, 1)], pieces.BPE)
     with pytest.raises(ValueError, match="vocabulary"):
         model.decode(np.array([5]))
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the model file")
+def test_the_query_returns_the_pieces(spark, tmp_path):
+    cases.docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op8_pieces(spark, str(tmp_path)).collect()
+    assert len(rows) == cases.docs(spark).count() and all(r["n_tokens"] == len(r["ids"]) for r in rows)
