@@ -1,19 +1,24 @@
-"""SentencePiece encoding and decoding in batched numpy.
+"""SentencePiece encoding and decoding by batched Viterbi in numpy.
 
 Texts are cut where no piece can reach across, and each distinct stretch is
-encoded once. Stretches of equal length advance together: the hashes of their
-substrings probe the sorted keys of all pieces at once, and vectorised maxima
-choose. A unigram model is solved by Viterbi with stored backpointers. A BPE
-model ranks merges and Viterbi on its scores would give other ids than the
-model means, so there the maxima choose each step's best merge instead.
+encoded once. Stretches of equal length advance together, one character a step:
+the hashes of all substrings that end there probe the sorted keys of the
+pieces, a vectorised maximum chooses the last piece, and where it begins is
+stored for the way back.
+
+What is maximised depends on the model. A unigram model adds up scores. A BPE
+model means a sequence of merges, and a sum of its scores would give other ids;
+but merging leaves a sequence of pieces just if it leaves every two neighbours
+apart when they are merged alone. So there a step's worth is whether a piece
+may follow the one that ends where it begins: of all pieces that end at a
+place, exactly one does. Which pairs may stand together is found by merging
+each pair once, and kept in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +32,11 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 NEVER = np.int64(1 << 62)
-LOCKSTEP = 256  # longer stretches are merged one by one, by a heap
-CACHED = 200_000
+CACHED = 200_000  # stretches whose ids a worker keeps
+FIRST_BITS = 20
+PAIR_BITS = 21  # slots of the table of pairs; a pair that has lost its slot is found again
+MATRIX = 1 << 18  # characters that advance together
+START, LONE = -1, -2  # before the first piece; a character without piece
 MODEL_BYTES = 1 << 26
 _BASE = 0x8F14E45FCEEA167B
 
@@ -73,14 +81,24 @@ class Model:
         self.keys = keys[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        bucket = np.bincount((self.keys >> U64(64 - FIRST_BITS)).astype(np.int64), minlength=1 << FIRST_BITS)
+        self.first, self.most = np.cumsum(bucket) - bucket, int(bucket.max(initial=0))
         self.key_ids = np.array([self.ids[n] for n in names], dtype=np.int64)[order]
         self.key_scores = np.array([self.scores[n] for n in names])[order]
         ranked = sorted(set(self.scores.values()), reverse=True)
         rank = {s: i for i, s in enumerate(ranked)}
-        self.ranks = {n: rank[self.scores[n]] for n in names}
-        self.key_ranks = np.array([self.ranks[n] for n in names], dtype=np.int64)[order]
+        self.key_ranks = np.array([rank[self.scores[n]] for n in names], dtype=np.int64)[order]
         self.longest = max((len(n) for n in names), default=1)
         self.lowest = min(self.scores.values(), default=0.0) - 10
+        self.inner = np.unique(np.array([ord(a) << 32 | ord(b) for p in names for a, b in zip(p, p[1:], strict=False)], dtype=np.int64))
+        sorted_names = [names[i] for i in order.tolist()]
+        self.key_size = np.array([len(n) for n in sorted_names], dtype=np.int64)
+        self.key_codes = np.zeros((len(names), self.longest), np.uint32)
+        for i, n in enumerate(sorted_names):
+            self.key_codes[i, : len(n)] = [ord(c) for c in n]
+        self.pairs = np.zeros(1 << PAIR_BITS, np.int64)  # (pair + 1) * 2 + may stand together
+        if self.kind == BPE:
+            self.whole = self._stay(np.full(len(names), START), np.arange(len(names)))  # pieces that merging makes
         shown = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in pieces]
         self.shown_size = np.array([len(s) for s in shown], dtype=np.int64)
         self.shown_at = np.cumsum(self.shown_size) - self.shown_size
@@ -89,10 +107,15 @@ class Model:
     # -- probing -----------------------------------------------------------
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
-        """The place of each hash among the sorted keys, or -1."""
-        at = np.searchsorted(self.keys, hashes)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, at, -1)
+        """The place of each hash among the sorted keys, or -1; their first bits say where to begin."""
+        at = self.first[(hashes >> U64(64 - FIRST_BITS)).astype(np.int64)]
+        out = np.full(hashes.shape, -1, np.int64)
+        for _ in range(self.most):
+            at = np.minimum(at, len(self.keys) - 1)
+            same = self.keys[at] == hashes
+            out[same] = at[same]
+            at = at + 1
+        return out
 
     def _fallback(self, char: str) -> list[int]:
         if self.byte_ids[0] < 0:
@@ -101,64 +124,143 @@ class Model:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(counts, ids): how many pieces each stretch has, and all their ids; ``words`` use U+2581 for a space."""
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for i, w in enumerate(words):
-            by_length[len(w)].append(i)
-        owners, ids = [], []
-        for length, where in by_length.items():
-            step = 1 if self.kind == BPE and length > LOCKSTEP else max(1, (1 << 18) // max(1, length))
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        fresh = np.zeros(len(flat), dtype=bool)
+        fresh[np.cumsum(size)[size > 0] - size[size > 0]] = True
+        # no piece holds these two characters in a row, so none reaches across
+        both = flat[:-1].astype(np.int64) << 32 | flat[1:]
+        near = np.minimum(np.searchsorted(self.inner, both), max(0, len(self.inner) - 1))
+        fresh[1:] |= (self.inner[near] != both) if len(self.inner) else True
+        start = np.flatnonzero(fresh)
+        length = np.diff(np.append(start, len(flat)))
+        # lengths are rounded up by an eighth at most, so that few are apart; what is added stands alone and goes
+        room = 1 << np.maximum(0, np.frompyfunc(int.bit_length, 1, 1)((length - 1).tolist()).astype(np.int64) - 3)
+        padded = -(-length // room) * room
+        parts = []
+        for n in np.unique(padded).tolist():
+            where = np.flatnonzero(padded == n)
+            step = max(1, MATRIX // n)
             for a in range(0, len(where), step):
-                part = np.array(where[a : a + step])
-                own = [words[i] for i in part.tolist()]
-                sums, down = _prefix(own, length)
-                if self.kind == UNIGRAM:
-                    row, begin, end = self._viterbi(sums, down, length)
-                elif length > LOCKSTEP:
-                    bounds = np.array(self._merge_long(own[0]))
-                    row, begin, end = np.zeros(len(bounds) - 1, np.int64), bounds[:-1], bounds[1:]
-                else:
-                    row, begin, end = self._merge(sums, down, length)
-                found, row = self._ids(own, sums, down, row, begin, end)
-                owners.append(part[row])
-                ids.append(found)
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.bincount(owner, minlength=len(words)), np.concatenate(ids)[order]
-
-    def _ids(self, words: list[str], sums: np.ndarray, down: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of symbols, and whose they are; a character without piece becomes its bytes' pieces."""
-        at = self.probe(_spans(sums, down, row, begin, end))
-        ids = self.key_ids[at]
-        lost = np.flatnonzero(at < 0)
-        if not len(lost):
-            return ids, row
-        more = [self._fallback(words[row[i]][begin[i] : end[i]]) for i in lost.tolist()]
-        n = np.ones(len(ids), np.int64)
-        n[lost] = [len(m) for m in more]
-        place = np.cumsum(n) - n
-        out = np.repeat(ids, n)
-        for i, m in zip(place[lost].tolist(), more, strict=True):
-            out[i : i + len(m)] = m
-        return out, np.repeat(row, n)
+                own = where[a : a + step]
+                column = np.arange(n)
+                inside = column[None, :] < length[own, None]
+                codes = np.where(inside, flat[np.minimum(start[own, None] + column, len(flat) - 1)], 0)
+                row, begin, found = self._viterbi(codes)
+                keep = begin < length[own[row]]
+                parts.append((start[own[row[keep]]] + begin[keep], found[keep]))
+        if not parts:
+            return np.zeros(len(words), np.int64), np.zeros(0, np.int64)
+        at, found = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        order = np.argsort(at, kind="stable")
+        at, ids, n = at[order], found[order], np.ones(len(at), np.int64)
+        lost = np.flatnonzero(ids < 0)
+        if len(lost):  # a character without piece becomes its bytes' pieces
+            more = [self._fallback(chr(c)) for c in flat[at[lost]].tolist()]
+            n[lost] = [len(m) for m in more]
+            place = (np.cumsum(n) - n)[lost]
+            ids, at = np.repeat(ids, n), np.repeat(at, n)
+            for i, m in zip(place.tolist(), more, strict=True):
+                ids[i : i + len(m)] = m
+        return np.bincount(np.searchsorted(np.cumsum(size), at, "right"), minlength=len(words)), ids
 
     # -- equal-length words ----------------------------------------------------
 
-    def _merge(self, sums: np.ndarray, down: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, begin, end) of the symbols after all merges; each step merges one pair in every word that still has one."""
-        alive = np.arange(len(sums))
-        bounds = np.tile(np.arange(length + 1), (len(sums), 1))
-        done: list[tuple[np.ndarray, np.ndarray]] = []
+    def _viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, begin, id) of the best segments of equal-length stretches, -1 for a character without piece."""
+        n, length = codes.shape
+        sums, down = _prefix_of(codes.astype(U64))
+        found = []
+        for size in range(1, min(self.longest, length) + 1):
+            begin = length - size + 1
+            at = self.probe(mix((sums[:, size:] - sums[:, :begin]) * down[:begin] + U64(size)))
+            row, column = np.nonzero(at >= 0 if self.kind == UNIGRAM else (at >= 0) & self.whole[at])
+            found.append((row, column, column + size, at[row, column]))
+        row, begin, end, piece = (np.concatenate([f[i] for f in found]) for i in range(4))
+        order = np.lexsort((begin, row, end))
+        row, begin, piece = row[order], begin[order], piece[order]
+        edge = np.searchsorted(end[order], np.arange(1, length + 2)).tolist()
+        best = np.zeros((n, length + 1))
+        last = np.full((n, length + 1), LONE, np.int64)  # the piece that ends at each place
+        last[:, 0] = START
+        back = np.tile(np.arange(-1, length), (n, 1))  # and where it begins
+        for to in range(1, length + 1):
+            r, b, x = (v[edge[to - 1] : edge[to]] for v in (row, begin, piece))
+            if self.kind == UNIGRAM:
+                best[:, to] = best[:, to - 1] + self.lowest
+                worth = self.key_scores[x] + best[r, b]
+                chosen = np.lexsort((b, -worth, r))
+                chosen = chosen[np.diff(r[chosen], prepend=-1) > 0]
+                short = (b[chosen] < to - 1) & (worth[chosen] <= best[r[chosen], to])
+                chosen = chosen[~short]
+                best[r[chosen], to] = worth[chosen]
+            else:
+                chosen = np.flatnonzero(self._may_follow(last[r, b], x))
+            last[r[chosen], to], back[r[chosen], to] = x[chosen], b[chosen]
+        row, end, parts = np.arange(n), np.full(n, length), []
+        while len(row):  # all words step back together
+            begin = back[row, end]
+            parts.append((row, begin, last[row, end]))
+            row, end = row[begin > 0], begin[begin > 0]
+        row, begin, piece = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        return row, begin, np.where(piece >= 0, self.key_ids[piece], -1)
+
+    def _may_follow(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether merging leaves each two pieces (places among the keys) apart; a start or lone character before one changes nothing."""
+        out = np.ones(len(first), dtype=bool)
+        some = np.flatnonzero(first >= 0)
+        if not len(some):
+            return out
+        pair = first[some] * len(self.keys) + second[some]
+        slot = (mix(pair.astype(U64)) >> U64(64 - PAIR_BITS)).astype(np.int64)
+        held = self.pairs[slot]
+        known = held >> 1 == pair + 1
+        out[some[known]] = (held[known] & 1).astype(bool)
+        fresh, which = np.unique(pair[~known], return_inverse=True)
+        if len(fresh):
+            stay = self._stay(fresh // len(self.keys), fresh % len(self.keys))
+            out[some[~known]] = stay[which]
+            self.pairs[(mix(fresh.astype(U64)) >> U64(64 - PAIR_BITS)).astype(np.int64)] = (fresh + 1) * 2 + stay
+        return out
+
+    def _stay(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Whether merging the characters of two pieces ends in these two; of START and a piece, in that piece."""
+        out = np.zeros(len(first), dtype=bool)
+        lead = np.where(first >= 0, self.key_size[first], 0)
+        total = lead + self.key_size[second]
+        for low in range(0, 2 * self.longest, 8):
+            where = np.flatnonzero((total > low) & (total <= low + 8))
+            for a in range(0, len(where), MATRIX // 16):
+                own = where[a : a + MATRIX // 16]
+                column = np.arange(low + 8)
+                from_second = column - lead[own, None]
+                mine = self.key_codes[second[own, None], np.clip(from_second, 0, self.longest - 1)]
+                mine = np.where(from_second < 0, self.key_codes[first[own, None], np.minimum(column, self.longest - 1)], mine)
+                mine = np.where(column < total[own, None], mine, 0)  # in no piece
+                out[own] = self._merged(mine.astype(U64), lead[own], total[own])
+        return out
+
+    def _merged(self, codes: np.ndarray, lead: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Whether the best merges, one a step in every row, leave a bound at ``lead`` and else none below ``total``."""
+        sums, down = _prefix_of(codes)
+        n, length = codes.shape
+        out = np.zeros(n, dtype=bool)
+        alive, bounds = np.arange(n), np.tile(np.arange(length + 1), (n, 1))
 
         def ranks(row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-            at = self.probe(_spans(sums, down, row, begin, end))
+            at = self.probe(mix((sums[row, end] - sums[row, begin]) * down[begin] + (end - begin).astype(U64)))
             return np.where(at >= 0, self.key_ranks[at], NEVER)
 
-        pair = ranks(np.repeat(alive, length - 1), bounds[:, :-2].ravel(), bounds[:, 2:].ravel()).reshape(len(sums), length - 1)
+        def judge(row: np.ndarray, left: np.ndarray) -> None:
+            inner = (left > 0) & (left < total[row, None])
+            out[row] = np.where(lead[row] > 0, (inner.sum(1) == 1) & (inner & (left == lead[row, None])).any(1), ~inner.any(1))
+
+        pair = ranks(np.repeat(alive, length - 1), bounds[:, :-2].ravel(), bounds[:, 2:].ravel()).reshape(n, length - 1)
         while len(alive) and pair.shape[1]:
             best = np.argmin(pair, axis=1)
             going = pair[np.arange(len(alive)), best] < NEVER
             if not going.all():
-                done.append((alive[~going], bounds[~going]))
+                judge(alive[~going], bounds[~going])
                 alive, bounds, pair, best = alive[going], bounds[going], pair[going], best[going]
             width = pair.shape[1]
             column = np.arange(width + 2)
@@ -169,57 +271,8 @@ class Model:
                 ok = np.flatnonzero((at >= 0) & (at < width - 1))
                 if len(ok):
                     pair[ok, at[ok]] = ranks(alive[ok], bounds[ok, at[ok]], bounds[ok, at[ok] + 2])
-        done.append((alive, bounds))
-        rows = np.concatenate([np.repeat(r, b.shape[1] - 1) for r, b in done])
-        return rows, np.concatenate([b[:, :-1].ravel() for _, b in done]), np.concatenate([b[:, 1:].ravel() for _, b in done])
-
-    def _viterbi(self, sums: np.ndarray, down: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, begin, end) of the segments with the highest sum of scores; a character without piece costs more than any."""
-        n = len(sums)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((n, length + 1), np.int64)
-        for end in range(1, length + 1):
-            begin = np.arange(max(0, end - self.longest), end)
-            h = mix((sums[:, end, None] - sums[:, begin]) * down[begin] + (end - begin).astype(U64))
-            at = self.probe(h.ravel()).reshape(h.shape)
-            score = np.where(at >= 0, self.key_scores[at], np.where(end - begin == 1, self.lowest, -np.inf)) + best[:, begin]
-            choice = np.argmax(score, axis=1)
-            best[:, end] = score[np.arange(n), choice]
-            back[:, end] = begin[choice]
-        row, end, parts = np.arange(n), np.full(n, length), []
-        while len(row):  # all words step back together
-            begin = back[row, end]
-            parts.append((row, begin, end))
-            row, end = row[begin > 0], begin[begin > 0]
-        row, begin, end = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((begin, row))
-        return row[order], begin[order], end[order]
-
-    def _merge_long(self, word: str) -> list[int]:
-        """As ``_merge``, for one long stretch, in the time of a heap."""
-        n = len(word)
-        end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if end[j] - i <= self.longest and (r := self.ranks.get(word[i : end[j]])) is not None:
-                heapq.heappush(heap, (r, i, j, end[j]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        live = [True] * n
-        while heap:
-            _, i, j, stop = heapq.heappop(heap)
-            if not live[i] or after[i] != j or end[j] != stop or not live[j]:
-                continue
-            end[i], live[j], after[i] = stop, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-                offer(i, after[j])
-            if before[i] >= 0:
-                offer(before[i], i)
-        return [i for i in range(n) if live[i]] + [n]
+        judge(alive, bounds)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -231,11 +284,6 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-def _spans(sums: np.ndarray, down: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the substrings of words."""
-    return mix((sums[row, end] - sums[row, begin]) * down[begin] + (end - begin).astype(U64))
-
-
 def _hash_one(piece: str) -> int:
     codes = np.array([[ord(c) for c in piece]], dtype=U64)
     sums, _ = _prefix_of(codes)
@@ -249,11 +297,6 @@ def _prefix_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
-def _prefix(words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
-    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    return _prefix_of(flat.reshape(len(words), length).astype(U64))
-
-
 class Encoder:
     """Encodes texts; what it knows of stretches met before is kept up to a bound."""
 
@@ -328,8 +371,11 @@ def encode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id",
 
     ids_sha256 is of the ids as little-endian 32-bit integers; round_trip says
     that decoding the ids gives the text again (U+2581 counts as a space).
-    Null and empty texts have no ids. Without ``with_ids`` ids is null. The
-    model file is read on the driver and broadcast, if it has 64 MB at most.
+    Null and empty texts have no ids. Repeated rows give a row each, an empty
+    table an empty one; a null key stays null. A text of any length is encoded
+    whole, in time in proportion to its length. Without ``with_ids`` ids is
+    null. The model file is read on the driver and broadcast, if it has 64 MB
+    at most.
     """
     sent = _sent(docs, model_path or default_model())
 
@@ -356,7 +402,7 @@ def encode(docs: DataFrame, model_path: str | None = None, key: str = "doc_id",
 
 
 def decode(encoded: DataFrame, model_path: str | None = None, key: str = "doc_id") -> DataFrame:
-    """(key, text) from (key, ids); null ids give a null text."""
+    """(key, text) from (key, ids), a row per row, of any length; null ids give a null text, no ids an empty one, an unknown id an error."""
     sent = _sent(encoded, model_path or default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,38 @@ def test_viterbi_of_a_unigram_model():
         assert score == pytest.approx(sum(best(w.replace(" ", "▁")) for w in words))
 
 
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the model file")
+def test_a_unigram_model_scores_as_well_as_the_library():
+    """The file's pieces with other scores; the library adds them up in 32 bits, so near ties may differ, not the sums."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(MODEL, "rb").read())
+    proto.trainer_spec.model_type = pieces.UNIGRAM
+    rng = random.Random(1)
+    for p in proto.pieces:
+        if p.type == pieces.NORMAL:
+            p.score = -4 - rng.random() * 12
+    lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    texts = awkward()
+    encoder = pieces.Encoder(pieces.Model(proto.SerializeToString()))
+    first, ids = encoder.encode(texts)
+    want = lib.encode(texts)
+    score = lambda found: sum(proto.pieces[i].score for i in found if proto.pieces[i].type == pieces.NORMAL)
+    own = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    assert all(score(x) == pytest.approx(score(w), rel=1e-5) for x, w in zip(own, want, strict=True))
+    assert sum(x == w for x, w in zip(own, want, strict=True)) > 0.9 * len(texts)
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="needs the model file")
+def test_a_lost_pair_is_found_again(monkeypatch):
+    monkeypatch.setattr(pieces, "PAIR_BITS", 3)
+    texts = cases.texts()[:20]
+    first, ids = pieces.Encoder(pieces.Model(open(MODEL, "rb").read())).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == library().encode(texts)
+
+
 def test_bad_models_and_ids():
     with pytest.raises(ValueError, match="space"):
         pieces.Model.of([("a▁b", 0.0, 1)], pieces.BPE)
