@@ -3,11 +3,19 @@
 Edges are all runs of ``window`` words. Each edge belongs to the node of its
 least-hashed inner k-mer (its minimizer), so the consecutive edges around one
 k-mer form a path, and a repeated edge always lies on paths of the same node.
-Nodes that occur in one document alone are dropped; a node whose paths are all
-alike doesn't branch, and its path is decided whole. Of branching nodes each
-distinct path is cut into its edges again, read at the path's source
-coordinates and verified there, and the edges are joined with the least
-document that holds them.
+Nodes that occur in one document alone are dropped.
+
+A node whose paths are all alike doesn't branch. Two such nodes of which the
+one is always followed by the other, and the other always preceded by it, are
+compacted, by joins that double the length reached each time; what is left are
+the heads of the longest nonbranching paths. Of branching nodes each distinct
+path is cut into its edges at its source coordinates, and edges are joined with
+the least place that holds them.
+
+Either way a repeat is a span of a row and the coordinates of its source. Both
+are read again when words are removed, and the SHA-256 of their words must
+agree; should hashes ever have confused two spans, all is done again with
+others.
 """
 
 from __future__ import annotations
@@ -17,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage
 from .words import U64, Words, chunks, mix, span
 
-PATHS = "doc_id long, start int, n int, node long, path long"
-EDGES = "node long, path long, at int, edge long, low long"
+PATHS = "doc_id long, text_key long, start int, n int, node long, path long"
+EDGES = "node long, path long, at int, edge long, doc_id long, text_key long, pos int"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-MOST_EDGES = 62  # of a path: they are the bits of a long
+CHECKS = "array<struct<start:int,n:int,s_doc:long,s_key:long,s_start:int,digest:binary>>"
+ROW = ["doc_id", "text_key"]  # rows that share an id are told apart by their texts
+ATTEMPTS = 5
 
 
 def _least(values: np.ndarray, w: int) -> np.ndarray:
@@ -65,113 +75,166 @@ def _paths(w: Words, window: int, k: int) -> tuple[np.ndarray, ...]:
     return text[start], start - first[text[start]], counts, kmers[node].view(np.int64), path.view(np.int64)
 
 
-def _marked(starts: np.ndarray, masks: np.ndarray, n_words: int) -> np.ndarray:
-    """The word places where the windows named by starts and the bits of their masks begin."""
-    bits = np.unpackbits(masks.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    row, bit = np.nonzero(bits)
-    at = np.unique(starts[row] + bit)
-    return at[at < n_words]
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
 
 
-def repeated_edges(docs: DataFrame, window: int = 50, k: int = 12) -> DataFrame:
-    """(doc_id, marks): for each document the paths on which edges start that also occur in a document of a smaller id.
+def _runs(held: Column) -> Column:
+    """Edges (at, src) in order, with those joined that follow each other here and at their source: (at, n, src)."""
+    none = F.expr("cast(array() as array<struct<at:int,n:int,src:struct<doc_id:bigint,text_key:bigint,pos:int>>>)")
 
-    marks is an array of (start, mask): bit j set means that the window of
-    words that begins at start + j is such a repeat. Documents without any have
-    no row; so have null ids, null texts and texts of fewer words.
+    def step(acc: Column, e: Column) -> Column:
+        last, src = F.element_at(acc, -1), e["src"]
+        follows = (last["at"] + last["n"] == e["at"]) & (last["src"]["pos"] + last["n"] == src["pos"]) & (last["src"]["doc_id"] == src["doc_id"]) & (last["src"]["text_key"] == src["text_key"])
+        more = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["at"].alias("at"), (last["n"] + 1).alias("n"), last["src"].alias("src"))))
+        new = F.concat(acc, F.array(F.struct(e["at"].alias("at"), F.lit(1).alias("n"), src.alias("src"))))
+        return F.when(F.size(acc) == 0, new).when(follows, more).otherwise(new)
+
+    return F.aggregate(F.sort_array(held), none, step)
+
+
+def _compacted(plain: DataFrame) -> DataFrame:
+    """(node, n, source): the heads of the longest nonbranching paths, their edges in all, and the least place of theirs."""
+    along = Window.partitionBy(*ROW).orderBy("start")
+    placed = plain.repartition(*ROW).dropDuplicates([*ROW, "start"])  # repeated rows count once
+    after = F.when(F.lead("start").over(along) == F.col("start") + F.col("n"), F.lead("node").over(along))
+    before = F.when(F.lag("start").over(along) + F.lag("n").over(along) == F.col("start"), F.lag("node").over(along))
+
+    def always(c: str) -> Column:
+        return F.when((F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)), F.min(c)).alias(c)
+
+    seen = placed.withColumns({"after": after, "before": before}).groupBy("node")
+    vertices = stage(seen.agg(F.first("n").cast("long").alias("n"), F.min(F.struct(*ROW, "start")).alias("source"), always("after"), always("before")), "vertices")
+    forth = vertices.filter("after is not null").select("node", F.col("after").alias("to"))
+    back = vertices.filter("before is not null").select(F.col("before").alias("node"), F.col("node").alias("to"))
+    links = stage(forth.join(back, ["node", "to"], "left_semi"), "links")
+    reach = stage(vertices.select("node", "n").join(links, "node", "left"), "reach")
+    # a path ends with its last document, so no link leads back; each round doubles what is reached
+    while reach.filter("to is not null").limit(1).count():
+        ahead = reach.select(F.col("node").alias("to"), F.col("n").alias("more"), F.col("to").alias("further"))
+        reach = stage(reach.join(ahead, "to", "left").select("node", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), F.col("further").alias("to")), "reach")
+    heads = vertices.select("node", "source").join(links.select(F.col("to").alias("node")), "node", "left_anti")
+    return stage(heads.join(reach.select("node", "n"), "node"), "heads")
+
+
+def repeated_spans(docs: DataFrame, window: int = 50, k: int = 12, seed: int = 0, bits: int = 64) -> DataFrame:
+    """(doc_id, text_key, start, n, s_doc, s_key, s_start), staged: n consecutive windows that start in a row, and their source in a row of a smaller id.
+
+    text_key is the xxhash64 of the row's text. Null ids, null texts and texts
+    of fewer words have none. Spans are found by hashes; ``remove_repeats``
+    compares their words.
     """
-    if not 0 < k <= window < k + MOST_EDGES:
-        raise ValueError(f"k must be at most the window, and less by {MOST_EDGES - 1} words at most")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    if not 0 < k <= window:
+        raise ValueError("k must be at most the window")
+    texts = _texts(docs).filter("doc_id is not null and text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b, w in chunks(batch.column(1), "blank", False):
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for a, b, w in chunks(batch.column(2), "blank", False, seed, bits):
                 text, start, n, node, path = _paths(w, window, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(node), pa.array(path)], names=["doc_id", "start", "n", "node", "path"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][text]), pa.array(keys[a:b][text]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(node), pa.array(path)], names=["doc_id", "text_key", "start", "n", "node", "path"])
 
     paths = stage(texts.mapInArrow(cut, PATHS), "paths")
     nodes = paths.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("path").alias("p0"), F.max("path").alias("p1"))
     # staged sums have no partitioning that a join would have to keep, so AQE can split a hot node
-    nodes = stage(nodes.filter("low < high").select("node", "low", (F.col("p0") != F.col("p1")).alias("branches")), "nodes")
+    nodes = stage(nodes.filter("low < high").select("node", (F.col("p0") != F.col("p1")).alias("branches")), "nodes")
     shared = stage(paths.join(nodes, "node"), "shared-paths")
 
-    full = F.expr("shiftleft(1L, n) - 1L")
-    plain = shared.filter("not branches and doc_id > low").select("doc_id", "start", full.alias("mask"))
+    plain = shared.filter("not branches")
+    whole = plain.select(*ROW, "start", "node").join(_compacted(plain), "node").filter("doc_id > source.doc_id")
+    whole = whole.select(*ROW, "start", F.col("n").cast("int").alias("n"), F.col("source.doc_id").alias("s_doc"), F.col("source.text_key").alias("s_key"), F.col("source.start").alias("s_start"))
 
     branching = shared.filter("branches")
-    classes = branching.groupBy("node", "path").agg(F.min(F.struct("doc_id", "start", "n")).alias("source"), F.max("doc_id").alias("high"))
-    classes = stage(classes, "path-classes")
-    wanted = classes.groupBy(F.col("source.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("source.start").alias("start"), F.col("source.n").alias("n"), "node", "path")).alias("wanted"))
+    classes = stage(branching.groupBy("node", "path").agg(F.min(F.struct(*ROW, "start", "n")).alias("source")), "path-classes")
+    wanted = classes.groupBy(F.col("source.doc_id").alias("doc_id"), F.col("source.text_key").alias("text_key")).agg(F.collect_list(F.struct(F.col("source.start").alias("start"), F.col("source.n").alias("n"), "node", "path")).alias("wanted"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            lists = batch.column(3)
             flat, offs = lists.flatten(), np.asarray(lists.offsets)
             offs = offs - offs[0]
             starts, sizes, nodes_, paths_ = (np.asarray(flat.field(i)) for i in range(4))
-            for a, b, w in chunks(batch.column(1), "blank", False):
-                text, start, n, node, path = _paths(w, window, k)
-                # the paths that stand at the coordinates, as wanted and as read: both must agree
-                have = dict(zip(zip(text.tolist(), start.tolist(), strict=True), zip(n.tolist(), node.tolist(), path.tolist(), strict=True), strict=True))
-                picked = [(t, i) for t in range(b - a) for i in range(offs[a + t], offs[a + t + 1]) if have.get((t, int(starts[i]))) == (int(sizes[i]), int(nodes_[i]), int(paths_[i]))]
-                if not picked:
-                    continue
-                t, i = np.array(picked).T
+            for a, b, w in chunks(batch.column(2), "blank", False, seed, bits):
+                i = np.arange(offs[a], offs[b])
+                t = np.repeat(np.arange(b - a), np.diff(offs[a : b + 1]))
                 count = sizes[i].astype(np.int64)
                 nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                begin = np.repeat(w.first[t] + starts[i], count) + nth
+                own, t = np.repeat(i, count), np.repeat(t, count)
+                pos = starts[own] + nth
+                begin = w.first[t] + pos
                 edge = span(w.sums(), begin, begin + window).view(np.int64)
-                own = np.repeat(i, count)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes_[own]), pa.array(paths_[own]), pa.array(nth, pa.int32()), pa.array(edge), pa.array(np.repeat(ids[a + t], count))], names=["node", "path", "at", "edge", "low"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes_[own]), pa.array(paths_[own]), pa.array(nth, pa.int32()), pa.array(edge), pa.array(ids[a + t]), pa.array(keys[a + t]), pa.array(pos, pa.int32())], names=["node", "path", "at", "edge", "doc_id", "text_key", "pos"])
 
-    edges = stage(texts.join(wanted, "doc_id").mapInArrow(read, EDGES), "edges")
-    least = edges.groupBy("node", "edge").agg(F.min("low").alias("least"))
-    held = stage(edges.join(least, ["node", "edge"]).groupBy("node", "path").agg(F.collect_list(F.struct("at", "least")).alias("held")), "held")
-    bits = F.aggregate(F.filter("held", lambda e: e["least"] < F.col("doc_id")), F.lit(0).cast("long"), lambda acc, e: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), e["at"])))
-    branched = branching.join(held, ["node", "path"]).select("doc_id", "start", bits.alias("mask")).filter("mask <> 0")
-    return plain.union(branched).groupBy("doc_id").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
+    edges = stage(texts.join(wanted, ROW).select(*ROW, "text", "wanted").mapInArrow(read, EDGES), "edges")
+    least = edges.groupBy("node", "edge").agg(F.min(F.struct(*ROW, "pos")).alias("src"))
+    runs = edges.select("node", "path", "at", "edge").join(least, ["node", "edge"]).groupBy("node", "path").agg(F.collect_set(F.struct("at", "src")).alias("held"))
+    runs = stage(runs.select("node", "path", _runs(F.col("held")).alias("runs")), "runs")
+    parts = branching.join(runs, ["node", "path"]).select(*ROW, "start", F.explode(F.filter("runs", lambda r: r["src"]["doc_id"] < F.col("doc_id"))).alias("r"))
+    parts = parts.select(*ROW, (F.col("start") + F.col("r.at")).alias("start"), F.col("r.n").alias("n"), F.col("r.src.doc_id").alias("s_doc"), F.col("r.src.text_key").alias("s_key"), F.col("r.src.pos").alias("s_start"))
+    return stage(whole.union(parts), "spans")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, k: int = 12, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, k: int = 12, with_text: bool = False, bits: int = 64) -> DataFrame:
     """One row per document row: doc_id, n_words, n_removed, kept_sha256, and kept text on demand.
 
     Words are runs of characters other than \\x20 and \\x09-\\x0D. A word goes if
-    a window that covers it also occurs in a document of a smaller id; windows
-    are judged on the input. A doc_id names one text: rows that repeat it must
-    repeat the text too (marks beyond another text's end are ignored). Rows
-    without doc_id keep all words and remove none elsewhere; a null text has no
-    words.
+    a window that covers it also starts in a document of a smaller id; windows
+    are judged on the input. Rows that repeat a doc_id are rows of the same
+    document, each judged by its own text. Rows without doc_id keep all words
+    and remove none elsewhere; a null text has no words; an empty table gives
+    an empty one. A first attempt keeps ``bits`` of the words' hashes.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    for seed in range(ATTEMPTS):
+        done = _applied(docs, repeated_spans(docs, window, k, seed, bits if seed == 0 else 64), window, with_text)
+        told = done.select(*ROW, F.explode("checks").alias("c")).select(*ROW, "c.*")
+        sources = told.filter("s_doc is null").select(F.col("doc_id").alias("s_doc"), F.col("text_key").alias("s_key"), F.col("start").alias("s_start"), "n", F.col("digest").alias("s_digest"))
+        apart = told.filter("s_doc is not null").join(sources, ["s_doc", "s_key", "s_start", "n"], "left").filter("s_digest is null or s_digest <> digest")
+        if not apart.limit(1).count():
+            return done.drop("checks", "text_key")
+    raise RuntimeError("hashes confused spans at every attempt")
+
+
+def _applied(docs: DataFrame, spans: DataFrame, window: int, with_text: bool) -> DataFrame:
+    """Remove the words that the spans cover; ``checks`` has the digests of the words of all spans and sources that a row holds."""
+    none = F.lit(None)
+    sources = spans.select(F.col("s_doc").alias("doc_id"), F.col("s_key").alias("text_key"), F.col("s_start").alias("start"), "n", none.cast("long").alias("s_doc"), none.cast("long").alias("s_key"), none.cast("int").alias("s_start")).distinct()
+    coords = spans.union(sources).groupBy(*ROW).agg(F.collect_set(F.struct("start", "n", "s_doc", "s_key", "s_start")).alias("coords"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, kept_texts = [], []
-            lists = batch.column(2)
-            for doc_id, text, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), range(batch.num_rows), strict=True):
+            rows, kept_texts, digests = [], [], []
+            lists = batch.column(3).fill_null([])
+            flat, offs = lists.flatten(), np.asarray(lists.offsets).tolist()
+            starts, sizes = (np.asarray(flat.field(i)).astype(np.int64) for i in range(2))
+            marks = flat.field(2).is_valid().to_numpy(zero_copy_only=False)
+            base = offs[0]
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 words = (text or "").encode().split()
-                n = len(words)
-                if lists[i].is_valid and n:
-                    flat = lists[i].values
-                    at = _marked(np.asarray(flat.field(0)).astype(np.int64), np.asarray(flat.field(1)), n)
-                    cover = np.zeros(n + window + 1, dtype=np.int32)
-                    cover[at] += 1
-                    cover[at + window] -= 1
+                n, a, b = len(words), offs[i] - base, offs[i + 1] - base
+                cover = np.zeros(n + 1, dtype=np.int64)
+                for begin, end in zip(starts[a:b].tolist(), (starts[a:b] + sizes[a:b] + window - 1).tolist(), strict=True):
+                    digests.append(hashlib.sha256(b" ".join(words[begin:end])).digest())
+                at, to = starts[a:b][marks[a:b]], (starts[a:b] + sizes[a:b] + window - 1)[marks[a:b]]
+                np.add.at(cover, np.minimum(at, n), 1)
+                np.add.at(cover, np.minimum(to, n), -1)
+                if len(at):
                     words = [words[j] for j in np.flatnonzero(np.cumsum(cover)[:n] == 0).tolist()]
                 kept = b" ".join(words)
-                rows.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest()))
-                if with_text:
-                    kept_texts.append(kept.decode())
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+                rows.append((n, n - len(words), hashlib.sha256(kept).hexdigest()))
+                kept_texts.append(kept.decode() if with_text else None)
+            columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            arrays = [batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))]
+            names = ["doc_id", "text_key", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 arrays.append(pa.array(kept_texts, pa.string()))
                 names.append("kept")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    marked = texts.join(repeated_edges(docs, window, k), "doc_id", "left").select("doc_id", "text", "marks")
-    return marked.mapInArrow(apply, RESULT + (", kept string" if with_text else ""))
+            fields = [flat.field(i) for i in range(5)] + [pa.array(digests, pa.binary())]
+            told = pa.StructArray.from_arrays(fields, names=["start", "n", "s_doc", "s_key", "s_start", "digest"])
+            arrays.append(pa.ListArray.from_arrays(pa.array([o - base for o in offs], pa.int32()), told))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "checks"])
+
+    marked = _texts(docs).join(coords, ROW, "left").select(*ROW, "text", "coords")
+    schema = RESULT.replace("doc_id long,", "doc_id long, text_key long,") + (", kept string" if with_text else "") + f", checks {CHECKS}"
+    return stage(marked.mapInArrow(apply, schema), "without-repeats")

@@ -7,6 +7,7 @@ text is a chunk of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+LONG_WORD = 256  # bytes; there are longer strings whose sums modulo 2**64 agree whatever the base, so longer words are digested
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,8 +49,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def _byte_values(fold: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
+def _byte_values(fold: bool, seed: int) -> np.ndarray:
+    values = mix((np.arange(1, 257, dtype=U64) + U64(256 * seed)) * U64(0xA24BAED4963EE407))
     if fold:
         values[65:91] = values[97:123]
     return values
@@ -69,9 +71,12 @@ def separators(pattern: str) -> np.ndarray:
 
 
 class Words:
-    """Words of some consecutive texts: byte bounds in ``data``, 64-bit hashes, and each text's first word in ``first``."""
+    """Words of some consecutive texts: byte bounds in ``data``, 64-bit hashes, and each text's first word in ``first``.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, pattern: str, fold: bool) -> None:
+    Another ``seed`` gives other hashes; ``bits`` of them are kept.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, pattern: str, fold: bool, seed: int = 0, bits: int = 64) -> None:
         self.data = data
         n = len(data)
         word = ~separators(pattern)[data]
@@ -90,8 +95,13 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)  # one more than texts
         up, down = powers(_BYTE_BASE, n + 1)
         total = np.zeros(n + 1, dtype=U64)
-        np.cumsum(_byte_values(fold)[data] * up[:n], out=total[1:])
+        np.cumsum(_byte_values(fold, seed)[data] * up[:n], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64))
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            word = self.word(i).lower() if fold else self.word(i)
+            self.hash[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=seed.to_bytes(8)).digest())
+        if bits < 64:
+            self.hash = self.hash >> U64(64 - bits)
 
     @property
     def counts(self) -> np.ndarray:
@@ -131,7 +141,7 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def chunks(texts: pa.Array | pa.ChunkedArray, pattern: str, fold: bool) -> Iterator[tuple[int, int, Words]]:
+def chunks(texts: pa.Array | pa.ChunkedArray, pattern: str, fold: bool, seed: int = 0, bits: int = 64) -> Iterator[tuple[int, int, Words]]:
     """(first row, one past the last row, words) of pieces of a column of texts."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
@@ -141,5 +151,5 @@ def chunks(texts: pa.Array | pa.ChunkedArray, pattern: str, fold: bool) -> Itera
         to = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
         to = min(max(to, at + 1), rows)
         part = offsets[at : to + 1]
-        yield at, to, Words(raw[part[0] : part[-1]], part - part[0], pattern, fold)
+        yield at, to, Words(raw[part[0] : part[-1]], part - part[0], pattern, fold, seed, bits)
         at = to

@@ -27,9 +27,9 @@ def brute(rows, window=50):
     return sorted(out, key=repr)
 
 
-def check(df, window=50, k=12):
+def check(df, window=50, k=12, **more):
     rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
-    got = sorted((tuple(r) for r in substrings.remove_repeats(df, window, k).collect()), key=repr)
+    got = sorted((tuple(r) for r in substrings.remove_repeats(df, window, k, **more).collect()), key=repr)
     assert got == brute(rows, window)
     return got
 
@@ -58,3 +58,37 @@ def test_empty_and_nameless(spark):
 def test_kept_text(spark):
     df = spark.createDataFrame([(1, " ".join(map(str, range(60)))), (2, "x " + " ".join(map(str, range(60))) + " y")], "doc_id long, text string")
     assert {r["doc_id"]: r["kept"] for r in substrings.remove_repeats(df, with_text=True).collect()}[2] == "x y"
+
+
+def test_rows_that_share_an_id_are_judged_each_by_its_text(spark):
+    p, q = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    check(spark.createDataFrame([(1, p), (2, p), (2, q), (2, p), (3, q), (3, f"{p} {q}")], "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("bits", [1, 4, 9])
+def test_confused_hashes_change_nothing(spark, bits):
+    """Words whose hashes collide give spans that aren't alike; their words tell."""
+    rows = [(i, " ".join(f"{x}{j}" for j in range(90))) for i, x in enumerate("abcabd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = substrings.remove_repeats(df)
+    assert sorted(check(df, bits=bits)) == sorted(tuple(r) for r in want.collect()) and want.agg({"n_removed": "sum"}).first()[0] == 180
+    check(cases.docs(spark), bits=bits)
+
+
+def test_words_of_colliding_sums(spark):
+    """Strings of this kind agree in any sum of powers modulo 2**64."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    tail = " ".join(map(str, range(70)))
+    assert [r[2] for r in check(spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{b} {tail}")], "doc_id long, text string"))] == [0, 70, 71]
+
+
+def test_long_paths_are_compacted(spark):
+    rng = random.Random(2)
+    text = cases.prose(rng, 4000, 10**6)
+    df = spark.createDataFrame([(1, text), (2, text), (3, f"{cases.prose(rng, 80)} {text}"), (4, cases.prose(rng, 500))], "doc_id long, text string")
+    spans = substrings.repeated_spans(df).collect()
+    assert len(spans) < 10 and max(r["n"] for r in spans) > 3800 and {r["s_doc"] for r in spans} == {1}
+    check(df)
