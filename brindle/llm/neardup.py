@@ -4,27 +4,31 @@ Equal shingle sets are one class from the start. Bands of MinHash samples put
 classes into buckets; inside a bucket the odd sketches (parity bitmaps of all
 samples) estimate each similarity from one XOR, and only spanning links of what
 looks alike are kept. The clusters of these links are then solved exactly on
-the full sets, and again only spanning links leave a task. Buckets and clusters
-beyond ``block`` members are cut into blocks, a task per pair of blocks, so
-none is capped and none is held whole.
+the full sets, and again only spanning links leave a task.
+
+Buckets and clusters of more rows or bytes than a block are cut into blocks,
+each solved by itself. One member of each component found goes on to the next
+level, where there are fewer, until they fit a block. What is then still apart
+is compared whole: all members outside of the group's largest component with
+all others. So none is capped, none is held whole, and no link is lost.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import LINKS, components, links_batch
 from .staging import stage
 from .words import U64, Words, chunks, mix, span
 
 SIGNED = "doc_id long, n long, h1 long, h2 long, buckets array<long>, s0 long, s1 long, s2 long, s3 long"
-LINKS = "a long, b long"
 BITS = 256
 ROWS = 5  # MinHash samples in a band
 SKETCHED = BITS // 2  # samples in a sketch at most; more would fill it up
@@ -165,98 +169,143 @@ def spanning(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> list[tu
     return out
 
 
-def _dealt(members: DataFrame, key: str, block: int) -> DataFrame:
-    """Give each member of a group of n the pairs of blocks (x, y) that it takes part in; one pair if the group fits a block."""
-    blocks = F.ceil(F.col("n_members") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep", key), F.col("__blocks")).cast("int")
-    rows = members.withColumn("__blocks", blocks).withColumn("__own", own)
-    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).filter("__blocks = 1 or __other <> __own")
-    return rows.withColumns({"x": F.least("__own", "__other"), "y": F.greatest("__own", "__other")}).drop("__blocks", "__own", "__other", "n_members")
+Test = Callable[[int, np.ndarray], np.ndarray]
 
 
-def _links(rows: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
-    both = np.asarray(rows, dtype=np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def linked_in_groups(members: DataFrame, prepare: Callable[[pa.RecordBatch, np.ndarray], Iterator[Test]], rows: int, size: int) -> DataFrame:
+    """Links (a, b) that connect whatever links the members of each group have among them, staged.
 
+    ``members``, staged, has the columns g (the group), rep, bytes, and more for
+    ``prepare``. That takes a batch with the bounds of its groups and yields for
+    each a test of which rows (counted from the group's begin) are linked with
+    one of them. A block has about ``rows`` rows and ``size`` bytes at most,
+    single larger rows apart.
+    """
+    names = members.columns
+    kept = [c for c in names if c not in ("g", "bytes")]  # rep comes first
 
-def _alike(classes: DataFrame, limit: float, block: int) -> DataFrame:
-    """Spanning links, bucket by bucket, between classes whose sketches differ in at most ``limit`` bits."""
-    slim = classes.select("rep", F.explode("buckets").alias("bucket"))
-    shared = stage(slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_members")).filter("n_members > 1"), "buckets")
-    members = slim.join(shared, "bucket").join(classes.select("rep", "s0", "s1", "s2", "s3"), "rep")
-    dealt = _dealt(members, "bucket", block).select("bucket", "x", "y", "rep", "s0", "s1", "s2", "s3")
-    dealt = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "rep")
+    def blocks_of(n: Column, total: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / rows), F.ceil(total / size)).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, edge in groups(batches, 3):
-            rep = batch.column(3).to_numpy()
-            sketch = np.stack([batch.column(4 + j).to_numpy() for j in range(4)], axis=1).view(U64)
-            size = np.diff(edge)
-            first = edge[:-1][size == 2]  # most groups are pairs
-            differ = np.bitwise_count(sketch[first] ^ sketch[first + 1]).sum(1) <= limit
-            out = [np.stack([rep[first[differ]], rep[first[differ] + 1]], axis=1)]
-            for a, b in zip(edge[:-1][size > 2], edge[1:][size > 2], strict=True):
-                own = sketch[a:b]
-                found = spanning(b - a, lambda i, others, own=own: np.bitwise_count(own[others] ^ own[i]).sum(1) <= limit)
-                out.append(rep[a + np.array(found, dtype=np.int64).reshape(-1, 2)])
-            yield _links(np.concatenate(out))
-
-    return dealt.mapInArrow(run, LINKS)
-
-
-def _confirmed(docs: DataFrame, clusters: DataFrame, k: int, percent: int, block: int) -> DataFrame:
-    """Spanning links, cluster by cluster, between classes whose full sets are similar enough."""
-    sizes = stage(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n_members")), "cluster-sizes")
-    # clusters grow with the corpus, so the join is a shuffle at every size
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.join(sizes, "root").hint("merge"), "rep")
-    dealt = _dealt(texts, "root", block).select("root", "x", "y", "rep", "h1", "text")
-    dealt = dealt.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y", "rep")
-
-    def solve(rep: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-        size = np.array([len(s) for s in sets])
-        if len(sets) == 2:
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            return np.array([rep]) if 100 * both >= percent * (size.sum() - both) else np.zeros((0, 2), np.int64)
-        _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        starts = np.cumsum(size) - size
-        flag = np.zeros(ids.max() + 1, dtype=np.int32)
-
-        def linked(i: int, others: np.ndarray) -> np.ndarray:
-            own = ids[starts[i] : starts[i] + size[i]]
-            flag[own] = 1
-            # only sets of a size that can be similar enough
-            may = (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])).nonzero()[0]
-            out = np.zeros(len(others), dtype=bool)
-            if len(may):
-                n = size[others[may]]
-                at = np.repeat(starts[others[may]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.add.reduceat(flag[ids[at]], np.cumsum(n) - n)
-                out[may] = 100 * both >= percent * (n + size[i] - both)
-            flag[own] = 0
-            return out
-
-        return rep[np.array(spanning(len(sets), linked), dtype=np.int64).reshape(-1, 2)]
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.select("g", "x", "y", "minor", "label", *kept).repartition("g", "x", "y").sortWithinPartitions("g", "x", "y", "minor", "rep")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, edge in groups(batches, 3):
-            rep, named = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            sets: list[np.ndarray] = []
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for a, b, w in chunks(batch.column(5), "blank", True):
-                first, values = shingles(w, k)
-                good[a:b] = (_class(first, values)[0] == named[a:b]) & (np.diff(first) > 0)
-                sets += [values[first[i] : first[i + 1]] for i in range(b - a)]
+            minor, label, rep = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5))
             out = [np.zeros((0, 2), np.int64)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                own = np.flatnonzero(good[a:b]) + a
-                if len(own) > 1:
-                    out.append(solve(rep[own], [sets[i] for i in own]))
-            yield _links(np.concatenate(out))
-
-    return dealt.mapInArrow(run, LINKS)
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
+            for (a, b), linked in zip(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True), prepare(batch.select(range(5, 5 + len(kept))), edge), strict=True):
+                if not minor[b - 1]:
+                    out.append(rep[a + np.array(spanning(b - a, linked), dtype=np.int64).reshape(-1, 2)])
+                    continue
+                own = label[a:b]
+                for i in np.flatnonzero(minor[a:b]).tolist():
+                    others = np.flatnonzero(~minor[a:b] & (own != own[i]))
+                    hit = others[linked(i, others)] if len(others) else others
+                    near = hit[np.unique(own[hit], return_index=True)[1]]  # one of each component
+                    out.append(np.stack([np.full(len(near), rep[a + i]), rep[a + near]], axis=1))
+            both = np.concatenate(out)
+            yield links_batch(both[:, 0], both[:, 1])
+
+    def solved(df: DataFrame) -> DataFrame:
+        return stage(dealt(df).mapInArrow(solve, LINKS), "links")
+
+    alone = {"y": F.lit(0), "minor": F.lit(False), "label": F.lit(0).cast("long")}
+    todo, links, cut = members, None, None
+    for level in itertools.count():
+        sizes = todo.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")).filter("n > 1")
+        sizes = stage(sizes.select("g", "n", blocks_of(F.col("n"), F.col("total")).alias("blocks")), "group-sizes")
+        own = F.pmod(F.xxhash64(F.lit(level), "rep", "g"), F.col("blocks")).cast("int")
+        found = solved(todo.join(sizes, "g").withColumns({"x": own, **alone}))
+        links = found if links is None else links.union(found)
+        large = sizes.filter("blocks > 1").select("g", "blocks")
+        cut = large if cut is None else cut
+        n = sizes.filter("blocks > 1").agg(F.sum("n")).first()[0]
+        if n is None:
+            break
+        labels = stage(components(links), "labels")
+        below = labels.filter("vertex <> root").select(F.col("vertex").alias("rep"))
+        todo = stage(todo.join(large.select("g"), "g", "left_semi").join(below, "rep", "left_anti").select(*names), "roots")
+        if todo.count() == n:  # nothing came together, so a further level would not help
+            break
+    if level == 0:
+        return links
+    # what the levels may have missed: any link has an end outside of the largest component
+    label = F.coalesce("root", "rep").alias("label")
+    every = stage(members.join(cut, "g").join(components(links).withColumnRenamed("vertex", "rep"), "rep", "left").select(*names, "blocks", label), "labelled")
+    parts = stage(every.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total")), "parts")
+    whole = parts.groupBy("g").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.sum("total").alias("bytes_all"), F.max_by("total", F.struct("n", "label")).alias("bytes_most"))
+    left = blocks_of(F.col("all") - F.col("most.n"), F.col("bytes_all") - F.col("bytes_most"))
+    open_ = stage(whole.filter(F.col("all") > F.col("most.n")).select("g", F.col("most.label").alias("largest"), left.alias("chunks")), "open-groups")
+    held = every.join(open_, "g")
+    x, y = (F.pmod(F.xxhash64(F.lit(-1), "rep", "g"), F.col(c)).cast("int") for c in ("blocks", "chunks"))
+    base = held.withColumns({"x": x, "y": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "minor": F.lit(False)})
+    minors = held.filter("label <> largest").withColumns({"x": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "y": y, "minor": F.lit(True)})
+    return links.union(solved(base.unionByName(minors)))
+
+
+def _alike(classes: DataFrame, limit: float, rows: int) -> DataFrame:
+    """Links that connect, bucket by bucket, the classes whose sketches differ in at most ``limit`` bits."""
+    slim = classes.select("rep", F.explode("buckets").alias("g"))
+    shared = stage(slim.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), "buckets")
+    members = stage(slim.join(shared, "g").join(classes.select("rep", "s0", "s1", "s2", "s3"), "rep").select("g", "rep", F.lit(40).alias("bytes"), "s0", "s1", "s2", "s3"), "bucket-members")
+
+    def prepare(batch: pa.RecordBatch, edge: np.ndarray) -> Iterator[Test]:
+        sketch = np.stack([batch.column(1 + j).to_numpy() for j in range(4)], axis=1).view(U64)
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            own = sketch[a:b]
+            yield lambda i, others, own=own: np.bitwise_count(own[others] ^ own[i]).sum(1) <= limit
+
+    return linked_in_groups(members, prepare, rows, rows * 40)
+
+
+def _confirmed(docs: DataFrame, clusters: DataFrame, k: int, percent: int, rows: int, size: int) -> DataFrame:
+    """Links that connect, cluster by cluster, the classes whose full sets are similar enough."""
+    # clusters grow with the corpus, so the join is a shuffle at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters.hint("merge"), "rep")
+    members = stage(texts.select(F.col("root").alias("g"), "rep", F.octet_length("text").cast("long").alias("bytes"), "h1", "text"), "cluster-texts")
+
+    def prepare(batch: pa.RecordBatch, edge: np.ndarray) -> Iterator[Test]:
+        named = batch.column(1).to_numpy()
+        sets: list[np.ndarray] = []
+        for a, b, w in chunks(batch.column(2), "blank", True):
+            first, values = shingles(w, k)
+            # a row whose text isn't the class's shares its id only
+            good = (_class(first, values)[0] == named[a:b]) & (np.diff(first) > 0)
+            sets += [values[first[i] : first[i + 1]] if good[i] else values[:0] for i in range(b - a)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield _similar(sets[a:b], percent)
+
+    return linked_in_groups(members, prepare, rows, size)
+
+
+def _similar(sets: list[np.ndarray], percent: int) -> Test:
+    size = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return lambda i, others: np.full(len(others), 100 * both >= percent * (size.sum() - both) and both > 0)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    flag = np.zeros(len(ids) + 1, dtype=np.int32)
+
+    def linked(i: int, others: np.ndarray) -> np.ndarray:
+        own = ids[starts[i] : starts[i] + size[i]]
+        flag[own] = 1
+        # only sets of a size that can be similar enough
+        may = ((100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])) & (size[others] > 0)).nonzero()[0]
+        out = np.zeros(len(others), dtype=bool)
+        if len(may):
+            n = size[others[may]]
+            at = np.repeat(starts[others[may]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.add.reduceat(flag[ids[at]], np.cumsum(n) - n)
+            out[may] = 100 * both >= percent * (n + size[i] - both)
+        flag[own] = 0
+        return out
+
+    return linked
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int = 256, block_bytes: int = 1 << 24) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per document row.
 
     Documents whose sets of distinct ``k``-word shingles have a Jaccard
@@ -266,6 +315,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     without words, null texts and rows without doc_id link with nothing; their
     component is themselves (null without id) and they are kept. Rows that
     repeat a doc_id are judged each by its own text, and are kept together.
+    Texts of any length are judged whole; an empty table gives an empty one.
+    ``block`` texts of ``block_bytes`` bytes at most are compared at once.
     """
     threshold = percent / 100
     bands = bands_for(threshold)
@@ -273,9 +324,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     first = [F.first(c).alias(c) for c in ("buckets", "s0", "s1", "s2", "s3")]
     classes = stage(signed.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *first), "classes")
     limit = most_different_bits(threshold, min(SKETCHED, bands * ROWS))
-    alike = components(_alike(classes, limit, 2 * block))
+    alike = components(_alike(classes, limit, 8 * block))
     clusters = stage(alike.withColumnRenamed("vertex", "rep").join(classes.select("rep", "h1"), "rep"), "clusters")
-    roots = components(_confirmed(docs, clusters, k, percent, block))
+    roots = components(_confirmed(docs, clusters, k, percent, block, block_bytes))
     named = classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("vertex", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
     joined = signed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

@@ -59,6 +59,39 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["vertex"]: r["root"] for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    apart = {r["vertex"]: r["root"] for r in graph.components(spark.createDataFrame(path, "a long, b long").repartition(6), task_links=15).collect()}
+    assert apart == got
+
+
+def test_random_components():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = rng.integers(0, 60, (2, rng.integers(1, 60)))
+        vertices, roots = graph.contracted(a, b)
+        root = dict(zip(vertices.tolist(), roots.tolist(), strict=True))
+        known = {v: {v} for v in root}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            both = known[x] | known[y]
+            for v in both:
+                known[v] = both
+        assert all(root[v] == min(known[v]) for v in root)
+
+
+@pytest.mark.parametrize(("rows", "size"), [(3, 10**9), (1000, 60)])
+def test_groups_beyond_a_block_lose_no_link(spark, rows, size):
+    """Numbers are linked if they differ by 3 at most; a chain of them, a crowd, and some that are linked with nothing."""
+    members = [(1, v, 20) for v in range(0, 90, 3)] + [(2, v, 20) for v in [*range(1000, 1040), 1100, 1101, 1200, 1300]] + [(3, 5000, 20), (3, 5001, 20), (4, 7000, 20)]
+    df = spark.createDataFrame([(*m, m[1]) for m in members], "g long, rep long, bytes long, v long")
+
+    def prepare(batch, edge):
+        v = batch.column(1).to_numpy()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield lambda i, others, own=v[a:b]: np.abs(own[others] - own[i]) <= 3
+
+    links = neardup.linked_in_groups(df, prepare, rows, size)
+    assert all(abs(r["a"] - r["b"]) <= 3 for r in links.collect())
+    got = {r["vertex"]: r["root"] for r in graph.components(links).collect()}
+    assert got == {v: 0 for v in range(0, 90, 3)} | {v: 1000 for v in range(1000, 1040)} | {1100: 1100, 1101: 1100, 5000: 5000, 5001: 5000}
 
 
 def test_spanning_forest_reaches_all():
