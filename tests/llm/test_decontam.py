@@ -49,6 +49,16 @@ def test_matches_brute_force(spark):
     want = brute(docs, rows)
     assert run(df, bench) == want and any(r[2] for r in want)
     assert run(df, bench, broadcast_bytes=3000) == want  # several blocks of patterns
+    assert run(df, bench, broadcast_bytes=700) == want  # more than executors hold at once
+
+
+def test_table_grows_with_the_patterns():
+    """Few slots are nought, however many patterns there are, so that most positions are skipped."""
+    rng = random.Random(3)
+    for n in (20, 20_000):
+        patterns = decontam.compile_patterns([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(13))) for i in range(n)], 13)
+        assert [p.m for p in patterns] == [13] and len(patterns[0].strings) == n
+        assert (patterns[0].shift < 12).mean() < 0.13
 
 
 def test_overlapping_periodic_patterns(spark):
