@@ -25,6 +25,7 @@ TEMPER = 0.25  # trigrams overlap and repeat; their joint likelihood counts for
 NOISE = 0.05  # trigrams of any text that are names, keys and the like
 PARENT_WEIGHT, HOST_WEIGHT, TABLE_WEIGHT = 20.0, 10.0, 1.0
 HELD = 64  # languages whose counts a task holds before it passes them on
+TABLE_BYTES = 1 << 27  # of a model at most; beyond 511 languages each has half as many slots, and so on
 
 
 class TextModel:
@@ -32,10 +33,12 @@ class TextModel:
 
     def __init__(self, languages: list[str], table: np.ndarray) -> None:
         self.languages, self.table = languages, table
+        self.shift = SLOTS_BITS - (table.shape[1].bit_length() - 1)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(trigrams that hold a letter, tempered log-likelihood by language) of each text."""
         slot, start = _slots(data)
+        slot >>= self.shift
         first = np.searchsorted(start, offsets[:-1])
         last = np.maximum(np.searchsorted(start, offsets[1:] - 2), first)  # a trigram ends inside its text
         out = np.zeros((len(offsets) - 1, len(self.languages)))
@@ -63,8 +66,10 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     """Fit on all different labelled texts, each whole, or on ``rows`` of each language, those first by hash.
 
     Executors count the trigrams; at most 65,536 counts a language come to the
-    driver, whatever the number of rows. With no labelled row at all the only
-    language is ``und``.
+    driver, whatever the number of rows. The table has ``TABLE_BYTES`` at most:
+    the more languages there are, the fewer slots has each, and none is left
+    out. Null and empty texts and labels teach nothing; repeated rows count
+    once. With no labelled row at all the only language is ``und``.
     """
     good = labelled.filter(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
     slim = good.select(F.lower(F.col(lang)).alias("lang"), F.col(text).alias("text"))
@@ -79,10 +84,10 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     parts = np.split(order, np.flatnonzero(np.diff(codes[order])) + 1) if len(order) else []
     by = dict(zip(names.dictionary.to_pylist(), parts, strict=True))
     languages = sorted(by)
-    table = np.full((len(languages) + 1, 1 << SLOTS_BITS), -np.log(1 << SLOTS_BITS), dtype=np.float32)
+    width = 1 << min(SLOTS_BITS, (TABLE_BYTES // 4 // (len(languages) + 1)).bit_length() - 1)
+    table = np.full((len(languages) + 1, width), -np.log(width), dtype=np.float32)
     for j, name in enumerate(languages):
-        counts = np.zeros(1 << SLOTS_BITS)
-        counts[slots[by[name]]] = n[by[name]]
+        counts = np.bincount(slots[by[name]] >> (SLOTS_BITS - (width.bit_length() - 1)), weights=n[by[name]], minlength=width)
         own = (counts + 0.01) / (counts.sum() + 0.01 * len(counts))
         table[j] = np.log((1 - NOISE) * own + NOISE / len(counts))
     return TextModel([*languages, NONE], table)
@@ -163,6 +168,8 @@ def identify(rows: DataFrame, model: TextModel, key: str) -> DataFrame:
     A null declaration, suffix or host says nothing; unseen ones say little, by
     smoothing. Ties go to the first language by name. Repeated rows count each;
     a row's own text doesn't speak twice, for its host's counts leave it out.
+    Texts of any length are read whole; an empty table gives an empty one. The
+    key may have any type and needn't be unique.
     """
     spark = rows.sparkSession
     languages, sent = model.languages, spark.sparkContext.broadcast(model)
@@ -182,8 +189,9 @@ def identify(rows: DataFrame, model: TextModel, key: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0), *(own.column(i) for i in range(2, 6)), pa.array(grams, pa.int64()), pa.array(best, pa.int32()), lists], names=[key, "declared", "host", "parent", "suffix", "n_trigrams", "best", "ll"])
                 at = to
 
-    columns = [F.col(key).cast("long").alias(key), "text", *(F.col(c).cast("string").alias(c) for c in ("declared", "host", "parent", "suffix"))]
-    schema = f"`{key}` long, declared string, host string, parent string, suffix string, n_trigrams long, best int, ll array<double>"
+    kind = rows.schema[key].dataType.simpleString()
+    columns = [F.col(f"`{key}`"), "text", *(F.col(c).cast("string").alias(c) for c in ("declared", "host", "parent", "suffix"))]
+    schema = f"`{key}` {kind}, declared string, host string, parent string, suffix string, n_trigrams long, best int, ll array<double>"
     scored = stage(rows.select(*columns).mapInArrow(run, schema), "text-evidence")
 
     def counts(by: str) -> DataFrame:
@@ -226,7 +234,7 @@ def identify(rows: DataFrame, model: TextModel, key: str) -> DataFrame:
 
     known = set(languages)
     fused = out.select(key, "declared", "host", "n_trigrams", "best", "ll", *(F.coalesce(f"{by}_n", zeros) for by in tables), "suffix")
-    return fused.mapInArrow(fuse, f"`{key}` long, lang string, confidence double, rejected boolean, text_lang string, declared string, host string, n_trigrams long")
+    return fused.mapInArrow(fuse, f"`{key}` {kind}, lang string, confidence double, rejected boolean, text_lang string, declared string, host string, n_trigrams long")
 
 
 def _flat(lists: pa.Array, n: int) -> np.ndarray:
@@ -243,4 +251,5 @@ def pages_evidence(pages: DataFrame) -> DataFrame:
 def documents_evidence(docs: DataFrame) -> DataFrame:
     """The evidence rows of documents: lang is what is declared, source stands for the host."""
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lower("lang").alias("declared"), F.col("source").alias("host"), none.alias("parent"), none.alias("suffix"))
+    declared, host = (F.col(c) if c in docs.columns else none for c in ("lang", "source"))
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.lower(declared).alias("declared"), host.alias("host"), none.alias("parent"), none.alias("suffix"))

@@ -126,3 +126,63 @@ def test_whole_texts_are_counted(spark):
     got = langid.fit_text_model(spark.createDataFrame(rows, "text string, lang string"))
     late = langid._slots(np.frombuffer(b"zvqx", np.uint8))[0]
     assert (got.table[got.languages.index("en")][late] > np.log(0.05)).all()
+
+
+def whole_rows(model, rows):
+    """The posterior of every row by the formulas alone: (lang, confidence, rejected, text_lang, n_trigrams)."""
+    names, n = model.languages, len(model.languages)
+    grams, ll = zip(*(model.score(b, np.array([0, len(b)])) for b in (np.frombuffer((r[1] or "").encode(), np.uint8) for r in rows)), strict=True)
+    best = [int(np.argmax(x[0])) if g[0] else n - 1 for g, x in zip(grams, ll, strict=True)]
+    spoken = [bool(g[0]) for g in grams]
+    every = np.array([sum(s and b == j for s, b in zip(spoken, best, strict=True)) + 1.0 for j in range(n)])
+    every /= sum(spoken) + n
+    out = []
+    for i, (_, _, declared, host, parent, suffix) in enumerate(rows):
+        def seen(at, value, i=i):
+            own = np.zeros(n)
+            for j, other in enumerate(rows):
+                if value is not None and j != i and spoken[j] and other[at] == value:
+                    own[best[j]] += 1
+            return own
+
+        post = ll[i][0].copy()
+        prior = (seen(4, parent) + 20 * every) / (seen(4, parent).sum() + 20)
+        post += np.log((seen(3, host) + 10 * prior) / (seen(3, host).sum() + 10))
+        for at, value in ((2, declared), (5, suffix)):
+            if value is not None:
+                post += np.log((seen(at, value) + every) / (seen(at, value).sum() + 1) / every)
+        which = int(np.argmax(post)) if spoken[i] else n - 1
+        share = float(1 / np.exp(post - post.max()).sum()) if spoken[i] else 0.0
+        stays = which == n - 1 and spoken[i] and bool(declared) and declared not in names
+        out.append((declared if stays else names[which], share, which == n - 1 and not stays, names[best[i]], int(grams[i][0])))
+    return out
+
+
+def test_whole_rows_match_the_formulas(spark, model):
+    rng = random.Random(8)
+    rows = []
+    for i in range(150):
+        x = rng.choice(["en", "de", "fr"])
+        host = rng.choice([None, f"{x}.one", "all.one", "b.two"])
+        body = rng.choice([text(rng, x, rng.randrange(1, 30)), "xq zw", "", "12", None, "\u4e00\u8d77" * rng.randrange(1, 9)])
+        rows.append((i, body, rng.choice([x, "en", None, "zz", ""]), host, host and host[-3:], host and rng.choice(["one", "two", None])))
+    got = run(spark, model, rows)
+    for r, want in zip(rows, whole_rows(model, rows), strict=True):
+        g = got[r[0]]
+        assert (g["lang"], g["rejected"], g["text_lang"], g["n_trigrams"]) == (want[0], *want[2:]), r
+        assert g["confidence"] == pytest.approx(want[1], rel=1e-4, abs=1e-9)
+
+
+def test_many_languages(spark, monkeypatch):
+    """Sixty languages take no longer plan than three; beyond the table's bound each has fewer slots, and all are known."""
+    rng = random.Random(10)
+    words = {f"x{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(30)] for i in range(60)}
+    rows = [(60 * j + i, " ".join(rng.choice(w) for _ in range(60)), x, "s") for i, (x, w) in enumerate(words.items()) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for bound, width in ((1 << 27, 1 << 16), (61 * 4 << 12, 1 << 12)):
+        monkeypatch.setattr(langid, "TABLE_BYTES", bound)
+        model = langid.fit_text_model(df)
+        assert model.table.shape == (61, width)
+        out = langid.identify(langid.documents_evidence(df), model, "doc_id")
+        assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+        assert {r["doc_id"]: r["lang"] for r in out.collect()} == {r[0]: r[2] for r in rows}
