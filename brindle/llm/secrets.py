@@ -16,7 +16,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import free_name, stage
 
 MAX_STRINGS, MAX_CLAUSES, MAX_RULE_ENTRIES = 64, 64, 10_000
 
@@ -150,11 +150,18 @@ def build_index(docs: DataFrame, trigrams: list[str], key: str = "doc_id", text:
     return stage(folded.select("key", F.explode(held).alias("gram")), "postings")
 
 
+def trigrams_of(rules: tuple[Rule, ...]) -> list[str]:
+    """All trigrams that the rules' queries ask for."""
+    return sorted({g for r in rules for clause in trigram_query(r.pattern) or [] for g in clause})
+
+
 def candidates(postings: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
     """(key, rules): the rules of whose clauses one has all its postings in that document, staged.
 
     Each clause's postings are intersected as bits, which combine on the map
-    side. The clauses come from the rules, whose number is checked.
+    side. A clause of more than 62 trigrams is asked for the first 62 alone,
+    which selects more documents, never fewer, and verification decides. The
+    clauses come from the rules, whose number is checked.
     """
     spark = postings.sparkSession
     entries = [(r, c, g, 1 << i, (1 << len(clause)) - 1) for r, q in queries.items() for c, clause in enumerate(q) for i, g in enumerate(sorted(clause)[:62])]
@@ -174,13 +181,11 @@ def _spans(text: Column, order: int, rule: Rule) -> Column:
     """All leftmost non-overlapping matches as structs (start, order, end) in code points."""
     pattern = F.lit(rule.pattern)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, rule.pattern, -1)  # has one more element than there are matches
-    sizes = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("n")))
+    gaps = F.split(text, rule.pattern, -1)  # has one more element than there are matches; the last meets a null, which adds no span
+    sizes = F.zip_with(found, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("n"), F.length(m).alias("value")))
     if rule.group:
         values = F.regexp_extract_all(text, pattern, F.lit(rule.group))
         sizes = F.zip_with(sizes, values, lambda s, v: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), F.length(v).alias("value")))
-    else:
-        sizes = F.transform(sizes, lambda s: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), s["n"].alias("value")))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
@@ -193,13 +198,16 @@ def _spans(text: Column, order: int, rule: Rule) -> Column:
     return F.aggregate(sizes, zero, step, lambda acc: acc["spans"])
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, key: str = "doc_id", text: str = "text", postings: DataFrame | None = None) -> DataFrame:
     """Add ``spans``, an array of structs (start, kind, end) sorted by start, then by the rules' order.
 
     kind is the rule's index. Each input row gives one row with all its
     columns; an input column named spans is replaced. A null text is as an
     empty one. Rows that share a key, or have none, are verified by their own
-    text, so they get their own spans. Texts may be of any length.
+    text, so they get their own spans. Texts may be of any length; an empty
+    table gives an empty one. ``postings`` is an index kept from ``build_index``
+    over the same rows, with ``trigrams_of`` these rules at least; without it
+    one is built.
     """
     plans = {i: trigram_query(r.pattern) for i, r in enumerate(rules)}
     asked = {i: q for i, q in plans.items() if q}
@@ -207,14 +215,16 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RU
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     body = F.coalesce(F.col(text), F.lit(""))
     if asked:
-        grams = sorted({g for q in asked.values() for clause in q for g in clause})
-        chosen = candidates(build_index(docs, grams, key, text), asked)
-        chosen = chosen.select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-        rows = rows.join(chosen, F.col(key).eqNullSafe(F.col("__key")), "left")
-        wanted = {i: F.array_contains("__rules", F.lit(i)) for i in asked}
+        chosen = candidates(build_index(docs, trigrams_of(rules), key, text) if postings is None else postings, asked)
+        own_key, own_rules = free_name(rows, "chosen_key"), free_name(rows, "chosen_rules")
+        chosen = chosen.select(F.col("key").alias(own_key), F.col("rules").alias(own_rules))
+        kept = [F.col(f"`{c}`") for c in rows.columns]
+        rows = rows.join(chosen, F.col(key).eqNullSafe(F.col(own_key)), "left")
+        wanted = {i: F.array_contains(own_rules, F.lit(i)) for i in asked}
+    else:
+        kept = [F.col(f"`{c}`") for c in rows.columns]
     parts = [F.when(wanted[i] if i in asked else F.regexp_like(body, F.lit(r.pattern)), _spans(body, i, r)).otherwise(none) for i, r in enumerate(rules)]
-    out = rows.withColumn("spans", F.array_sort(F.concat(*parts)))
-    return out.drop("__key", "__rules")
+    return rows.select(*kept, F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...]) -> Column:
