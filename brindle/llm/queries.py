@@ -13,13 +13,14 @@ from .staging import table
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_warc(warc.mark_revisits(table(spark, sf_dir, "pages")))
-    return warc.read_warc(index, with_payload=False).drop("payload")
+    return warc.read_warc(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
-    return shards.shuffle_into_shards(rows).withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+    none = F.lit(None).cast("int")
+    return shards.shuffle_into_shards(rows).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none.alias("grown_shard"))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,14 @@ def _remove_all() -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def sample_by_hash(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
     """The ``rows`` rows first by hash of those that differ in ``columns``, all if there are fewer; for fitting and pivots only.
 

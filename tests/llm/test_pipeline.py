@@ -3,6 +3,7 @@ import os
 from . import cases
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brindle.llm import oracles, queries
@@ -25,8 +26,7 @@ def test_each_stage(spark, folder):
     kept = []
     for name, apply in corpus_pipeline.STAGES[:-1]:
         out = stage(apply(spark, docs, folder), name)
-        if name != "secret_scan":
-            assert out.columns == docs.columns
+        assert out.columns == docs.columns
         docs = out
         kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
     assert kept[0] > kept[1] > kept[2] == kept[3]
@@ -37,6 +37,20 @@ def test_each_stage(spark, folder):
     assert {r["doc_id"] for r in ids.collect()} == kept[-1]
 
 
+def test_clashing_columns_pass_unchanged(spark, folder):
+    """Names that stages use themselves, or did once."""
+    names = ["rejected", "__lang", "spans", "__row", "row_key", "found_lang", "is_rejected", "found_spans", "input_spans", "kept", "key", "__key", "__rules", "chosen_key", "declared", "host", "best", "n_words", "label", "g", "Text_key"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = stage(docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names}), "clash")
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        docs = stage(apply(spark, docs, folder), name)
+        rows = docs.collect()
+        assert rows and docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert all(r[n] == before[r["doc_id"]][n] for r in rows for n in names)
+    assert corpus_pipeline.encoding(spark, docs, folder).count() == len(rows)
+
+
 def test_clean_documents_stay(spark, tmp_path):
     rows = [(i, f"{cases.prose(__import__('random').Random(i), 40)} und so weiter", "de", "s", 1) for i in range(20)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
