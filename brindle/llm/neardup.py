@@ -8,8 +8,8 @@ the full sets, and again only spanning links leave a task.
 
 Buckets and clusters of more rows or bytes than a block are cut into blocks,
 each solved by itself. One member of each component found goes on to the next
-level, where there are fewer, until they fit a block. What is then still apart
-is compared whole: all members outside of the group's largest component with
+level while that at least halves them, until they fit a block. What is then
+still apart is compared whole: all members outside of the group's largest component with
 all others. So none is capped, none is held whole, and no link is lost.
 """
 
@@ -226,9 +226,9 @@ def linked_in_groups(members: DataFrame, prepare: Callable[[pa.RecordBatch, np.n
         labels = stage(components(links), "labels")
         below = labels.filter("vertex <> root").select(F.col("vertex").alias("rep"))
         todo = stage(todo.join(large.select("g"), "g", "left_semi").join(below, "rep", "left_anti").select(*names), "roots")
-        if todo.count() == n:  # nothing came together, so a further level would not help
+        if 2 * todo.count() > n:  # little came together, so further levels would not help
             break
-    if level == 0:
+    if level == 0 and n is None:  # all groups fit a block
         return links
     # what the levels may have missed: any link has an end outside of the largest component
     label = F.coalesce("root", "rep").alias("label")
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
     first = [F.first(c).alias(c) for c in ("buckets", "s0", "s1", "s2", "s3")]
     classes = stage(signed.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), *first), "classes")
     limit = most_different_bits(threshold, min(SKETCHED, bands * ROWS))
-    alike = components(_alike(classes, limit, 8 * block))
+    alike = components(_alike(classes, limit, 32 * block))
     clusters = stage(alike.withColumnRenamed("vertex", "rep").join(classes.select("rep", "h1"), "rep"), "clusters")
     roots = components(_confirmed(docs, clusters, k, percent, block, block_bytes))
     named = classes.select("h1", "h2", "rep").join(roots.withColumnRenamed("vertex", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
