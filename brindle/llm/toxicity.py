@@ -234,6 +234,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted): one row per document row; repeated texts score alike, rows without id are scored too."""
+    """(doc_id, held_out, score, predicted): one row per document row.
+
+    Repeated texts score alike, rows without id are scored too, null texts as
+    empty ones, texts of any length whole; an empty table gives an empty one.
+    """
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -12,7 +12,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -26,6 +26,7 @@ RECORD = "page_id long, url string, payload_bytes long, payload_digest string, r
 _ID = "urn:x-page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PRINTABLE = "".join(chr(c) for c in range(0x21, 0x7F))
+_INVERTIBLE = _PRINTABLE.replace("%", "")
 
 
 def mark_revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -61,6 +62,8 @@ def _record(row: dict, date: str) -> bytes:
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_id(row['page_id'])}", f"WARC-Date: {date}"]
     if row["url"] is not None:
         head.append(f"WARC-Target-URI: {quote(row['url'], safe=_PRINTABLE)}")
+        if not row["url"].isascii() or not row["url"].isprintable() or " " in row["url"]:
+            head.append(f"X-Original-URI: {quote(row['url'], safe=_INVERTIBLE)}")
     head += [f"WARC-Payload-Digest: sha256:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}"]
     if revisit:
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_id(row['refers_to'])}"]
@@ -74,6 +77,10 @@ def write_warc(pages: DataFrame, path: str | None = None, date: str = "1970-01-0
     Each task writes files of its own, a gzip member per record, and starts
     another after ``file_bytes``. A task that runs twice leaves a file that no
     index row names. ``path`` may be any URI that pyarrow's file systems open.
+    Repeated rows have a record each, payloads of any length are written whole,
+    an empty table gives an empty index and no file; rows without page_id or
+    url have records without. An address that isn't plain ASCII is encoded as
+    the format asks, and kept as it was beside that.
     """
     spark = pages.sparkSession
     folder = path or new_path(spark, "warc")
@@ -109,7 +116,9 @@ def byte_runs(index: DataFrame, gap: int = 1 << 16, run_bytes: int = 1 << 23) ->
     """Coalesce the records of an index, or of any selection from one, into runs of a single read.
 
     Sorted by offset, records at most ``gap`` bytes apart share a run, unless
-    they begin in different stretches of ``run_bytes``; so a run is bounded.
+    they begin in different stretches of ``run_bytes``; so a run is bounded,
+    single longer records apart. A record that a selection names twice is read
+    twice; an empty selection has no runs.
     """
     by = Window.partitionBy("file").orderBy("offset")
     end = F.lag(F.col("offset") + F.col("length")).over(by)
@@ -124,7 +133,8 @@ def read_warc(index: DataFrame, with_payload: bool = True, gap: int = 1 << 16, r
 
     A response's length and digest are taken from the payload that was read and
     must agree with its header; a revisit's are those of its header. Without
-    ``with_payload`` the payload column is null.
+    ``with_payload`` the payload column is null. An index row gives a record,
+    repeated ones too, and an empty index gives none.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +173,9 @@ def parse_record(record: bytes, with_payload: bool = True) -> tuple:
         payload = body.partition(b"\r\n\r\n")[2]
         if len(payload) != size or hashlib.sha256(payload).hexdigest() != declared:
             raise ValueError("a payload differs from its digest")
-    url = fields.get(b"warc-target-uri")
-    return _page(fields[b"warc-record-id"]), None if url is None else url.decode(), size, declared, kind, refers, payload if with_payload else None
+    url, original = fields.get(b"warc-target-uri"), fields.get(b"x-original-uri")
+    url = unquote(original.decode()) if original is not None else None if url is None else url.decode()
+    return _page(fields[b"warc-record-id"]), url, size, declared, kind, refers, payload if with_payload else None
 
 
 def _uri(path: str) -> str:

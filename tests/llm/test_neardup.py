@@ -1,4 +1,6 @@
 import itertools
+import os
+from collections import Counter, defaultdict
 
 from . import cases
 import numpy as np
@@ -42,6 +44,41 @@ def test_matches_brute_force(spark, k, percent, block):
     assert sum(not r[3] for r in want) > 10
 
 
+def exact_groups(rows, k, percent):
+    """Component of each document by an exact prefix-filter join over all rows."""
+    sets = {d: shingles(t, k) for d, t in rows}
+    seen = Counter(s for x in sets.values() for s in x)
+    by, parent = defaultdict(list), {d: d for d in sets}
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for d, x in sorted(sets.items(), key=lambda r: (len(r[1]), r[0])):
+        rare = sorted(x, key=lambda s: (seen[s], s))[: len(x) - -(-percent * len(x) // 100) + 1]
+        for other in {o for s in rare for o in by[s]}:
+            y = sets[other]
+            if find(d) != find(other) and 100 * len(y) >= percent * len(x) and 100 * len(x & y) >= percent * len(x | y):
+                i, j = find(d), find(other)
+                parent[max(i, j)] = min(i, j)
+        for s in rare:
+            by[s].append(d)
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
+def test_no_link_is_lost_on_whole_tables(spark, k, percent):
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want = exact_groups([tuple(r) for r in df.collect()], k, percent)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, k=k, percent=percent).collect()}
+    copies = [d for d, c in want.items() if c != d]
+    print(f"{sum(got[d] == want[d] for d in copies)} of {len(copies)} copies")
+    assert got == want and len(copies) > 500
+
+
 def test_empty_and_nameless(spark):
     assert run(cases.none(spark)) == []
     df = cases.nameless(spark)

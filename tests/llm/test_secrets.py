@@ -46,6 +46,15 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_a_kept_index(spark):
+    df = cases.docs(spark)
+    rules = secrets.BASE_RULES + secrets.MORE_RULES
+    kept = secrets.build_index(df, secrets.trigrams_of(rules) + ["zzz"])
+    show = lambda found: sorted(((r["doc_id"], r["text"], tuple(map(tuple, r["spans"]))) for r in found.collect()), key=repr)
+    assert show(secrets.find_secrets(df, rules, postings=kept)) == show(secrets.find_secrets(df, rules))
+    assert show(secrets.find_secrets(df, rules[:2], postings=kept)) == show(secrets.find_secrets(df, rules[:2]))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdef0123456789abcdef0123 tail"), (2, "clean"), (3, None)], "doc_id long, text string")
     found = secrets.find_secrets(df)
