@@ -154,7 +154,10 @@ def _solve(data: DataFrame, sent: DataFrame, k: int) -> DataFrame:
 
     def best(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
         s = _scores(q, x)
-        ok = (s >= floors[:, None]) & (ids[None, :] != q_ids[:, None])
+        own = ids[None, :] == q_ids[:, None]
+        ok = (s >= floors[:, None]) & ~own
+        if (at := len(x) - k) > 0:  # under a block's own k-th nothing need be sorted
+            ok &= s >= np.partition(np.where(own, LOWEST, s), at, axis=1)[:, at, None]
         rows, cols = np.nonzero(ok)
         if not len(rows):
             return None
